@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 TABLE_CHUNKS = 400_000
@@ -131,9 +132,9 @@ def encode(docs: DataFrame, model_path: str | None = None, ids: bool = True, dec
 
 def token_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """The documents with ids and n_tokens added (existing columns of these names are replaced)."""
-    path, at = model_path or default_model(), docs.columns.index("text")
+    path = model_path or default_model()
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    schema = docs.select(*kept).schema.add("ids", "array<int>").add("n_tokens", "long")
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
     at = kept.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

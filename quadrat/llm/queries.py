@@ -7,18 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from quadrat.llm import pieces, quality, simhash, urls, warc
+from quadrat.llm import html, lines, mixing, pieces, quality, recurrent, simhash, urls, vectors, warc
 from quadrat.llm.shared import table
 
 
+def op1_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_balanced_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes_report(table(spark, sf_dir, "documents"))
 
 
+def op5_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+def op6_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.score(table(spark, sf_dir, "documents"))
+
+
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), ids=False, digests=True)
 
@@ -33,14 +53,24 @@ def op10_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_url_ratio": op2_url_ratio,
-    "op4_ball_simhash": op4_ball_simhash,
-    "op8_piece_table": op8_piece_table,
-    "op9_rule_cascade": op9_rule_cascade,
-    "op10_dictionary_warc": op10_dictionary_warc,
+    f.__name__: f
+    for f in (op1_url_differencing, op2_url_ratio, op3_balanced_lists, op4_ball_simhash, op5_segment_join, op6_recurrent_lm, op7_soft_mixing, op8_piece_table, op9_rule_cascade, op10_dictionary_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # exact where the index reads every list, as on small tables
+    "op3_balanced_lists": """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op9_rule_cascade": """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
