@@ -8,7 +8,7 @@ squared gaps between expected domain token totals and targets. Each step is one
 three sums; a document's rate is a function of its posteriors and the gradients so far, so nothing but
 those sums reaches the driver. All of it is DataFrame and SQL code.
 
-Targets: the weights, scaled so that the first domain keeps all its expected tokens. Rates within
+Targets: the weights, scaled so that the first domain keeps all its expected tokens. Rates lie between 0 and ``MOST``. Rates within
 ``SLACK`` of 1 give exactly one copy; others are rounded up or down by a hash of doc_id and text.
 
 Defined cases: a null text has no words, 0 tokens and is judged by its features like any text; labels
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = (0.98, 0.02, 0.0)
 #: Labelled documents from which lexicons are chosen, words in each lexicon, and a word's least likelihood ratio.
 LEXICON_DOCS, LEXICON_WORDS, LEAST_RATIO = 8000, 64, 25
-STEPS, TOLERANCE, SLACK = 40, 1e-4, 0.1
+#: Steps, share of all tokens that a gap may keep, distance from 1 that counts as 1, damping, largest rate.
+STEPS, TOLERANCE, SLACK, DAMP, MOST = 40, 1e-4, 0.1, 0.01, 4.0
 BINS = 12
 
 
@@ -127,7 +129,7 @@ def rate(p: Column, gradients: list[list[float]]) -> Column:
     if not gradients:
         return F.lit(1.0)
     steps = F.array(*[F.array(*map(F.lit, g)) for g in gradients])
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((F.get(g, d) * F.get(p, d) for d in range(len(DOMAINS))), F.lit(0.0))))
+    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), F.least(F.lit(MOST), r - sum((F.get(g, d) * F.get(p, d) for d in range(len(DOMAINS))), F.lit(0.0)))))
 
 
 def fit_rates(members: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> list[list[float]]:
@@ -139,18 +141,18 @@ def fit_rates(members: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> list[
     if not sum(s) or not weights[0]:
         return []
     target = [s[0] / weights[0] * w for w in weights]
-    diag = [max(gram[f"g{d}_{d}"], 1e-9) for d in range(d_n)]
-    # rows of the scaled Gram matrix bound its largest eigenvalue, so this step never overshoots
-    step = 1 / max(sum(gram[f"g{a}_{b}"] / math.sqrt(diag[a] * diag[b]) for b in range(d_n)) for a in range(d_n))
+    # residuals are weighted by the damped inverse Gram matrix of the memberships: full steps never overshoot
+    g = np.array([[gram[f"g{a}_{b}"] for b in range(d_n)] for a in range(d_n)])
+    weight = np.linalg.inv(g + DAMP * np.trace(g) * np.eye(d_n))
     past: list[list[float]] = []
     loss = math.inf
     for _ in range(STEPS):
         now = members.agg(*[F.sum(t(d) * rate(F.col("p"), past)).alias(f"s{d}") for d in range(d_n)]).first() if past else s
         gap = [now[d] - target[d] for d in range(d_n)]
-        was, loss = loss, sum(g * g for g in gap)
+        was, loss = loss, float(np.array(gap) @ weight @ np.array(gap))
         if max(map(abs, gap)) <= TOLERANCE * sum(target) or loss > 0.99 * was:
             break
-        past.append([step * gap[d] / diag[d] for d in range(d_n)])
+        past.append([float(x) for x in weight @ np.array(gap)])
     return past
 
 
