@@ -1,9 +1,9 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Every page is parsed once into lines (its blocks of text), each marked as boilerplate (menus, headers,
+Every page is parsed into lines (its blocks of text), each marked as boilerplate (menus, headers,
 footers, sidebars, notices, adverts, forms, comments), as main (inside an article or main element) or as
 open. Pages of a host are sorted by URL path over range partitions, so a large host spreads over many
-tasks, and each page is paired with the neighbour that shares the longer path. The two pages' lines are
+tasks, and each page is paired with the neighbour that shares the longer path. Hashes of the two pages' lines are
 aligned by longest common subsequence and shared lines are deleted. Marks then check the result: lines
 marked boilerplate go even where the pages differ, and lines marked main stay even where they agree, so
 an article that two pages carry is not lost. A page that shares all its open lines says nothing about
@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.shared import staged
@@ -176,33 +176,42 @@ def shared_positions(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def main_lines(lines: list[str], marks: list[int], hashes: list[int], mate: list[int] | None) -> list[str]:
-    """What differencing leaves of a page, checked against the marks."""
+def deleted_lines(marks: list[int], hashes: list[int], mate: list[int] | None) -> list[int]:
+    """Open lines that differencing deletes; a page that shares them all keeps them."""
     shared = shared_positions(hashes, mate) if mate else set()
     still = [i for i, m in enumerate(marks) if m == OPEN_]
-    silent = all(i in shared for i in still)
-    return [x for i, (x, m) in enumerate(zip(lines, marks)) if m != BOILER_ and (m == MAIN_ or silent or i not in shared)]
+    gone = [i for i in still if i in shared]
+    return [] if len(gone) == len(still) else gone
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, _k (row key), lines, marks, hashes."""
-    id_type = pages.schema["page_id"].dataType.simpleString()
+def kept_lines(lines: list[str], marks: list[int], gone: list[int] | None) -> list[str]:
+    """What is left of a page after differencing and the check against the marks."""
+    out = set(gone or ())
+    return [x for i, (x, m) in enumerate(zip(lines, marks)) if m != BOILER_ and i not in out]
+
+
+def row_key() -> Column:
+    return F.xxhash64("page_id", "url", "html")
+
+
+def page_keys(pages: DataFrame) -> DataFrame:
+    """host, path, _k (row key), marks and hashes of the lines: no text."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url", "html").alias("_k"), "html")
+    rows = pages.select(host.alias("host"), path.alias("path"), row_key().alias("_k"), "html")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["page_id", "url", "host", "path", "_k", "lines", "marks", "hashes"]
+        names = ["host", "path", "_k", "marks", "hashes"]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                got = [page_lines(x) for x in part.column(5).to_pylist()]
+                got = [page_lines(x) for x in part.column(3).to_pylist()]
                 hashes = [[xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines] for lines, _ in got]
-                new = [pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], *new], names=names)
+                new = [pa.array([g[1] for g in got], pa.list_(pa.int8())), pa.array(hashes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *new], names=names)
 
-    return rows.mapInArrow(work, f"page_id {id_type}, url string, host string, path string, _k long, lines array<string>, marks array<int>, hashes array<long>")
+    return rows.mapInArrow(work, "host string, path string, _k long, marks array<tinyint>, hashes array<long>")
 
 
 def common_prefix(a: str, b: str) -> int:
@@ -262,23 +271,41 @@ def mates(keys: DataFrame) -> DataFrame:
     return found.join(F.broadcast(patch), "_k", "left").select("_k", F.coalesce("new", "mate").alias("mate"))
 
 
+def deletions(pages: DataFrame) -> DataFrame:
+    """(_k, gone) for the pages that lose open lines to their neighbour; only hashes of lines are moved."""
+    keys = staged(page_keys(pages).dropDuplicates(["_k"]), "page-lines")
+    pairs = mates(keys.select("host", "path", "_k"))
+    other = keys.select(F.col("_k").alias("_m"), F.col("hashes").alias("mate_hashes"))
+    with_mate = pairs.join(other, pairs.mate == other._m).select(F.col("_k").alias("_p"), "mate_hashes")
+    joined = keys.join(with_mate, keys._k == with_mate._p).select("_k", "marks", "hashes", "mate_hashes")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [deleted_lines(*r) for r in zip(*[batch.column(k).to_pylist() for k in range(1, 4)])]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["_k", "gone"])
+            yield out.filter(pa.array([bool(g) for g in gone], pa.bool_()))
+
+    return staged(joined.mapInArrow(work, "_k long, gone array<int>"), "deleted-lines")
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text (lines joined by line feeds), n_chars, n_lines, n_shared."""
+    """page_id, url, text (lines joined by line feeds), n_chars, n_lines, n_deleted."""
     id_type = pages.schema["page_id"].dataType.simpleString()
-    parsed = staged(parse_pages(pages), "page-lines")
-    pairs = mates(parsed.select("host", "path", "_k"))
-    other = parsed.select(F.col("_k").alias("_m"), F.col("hashes").alias("mate_hashes")).dropDuplicates(["_m"])
-    with_mate = pairs.join(other, pairs.mate == other._m).select(F.col("_k").alias("_p"), "mate_hashes")
-    joined = parsed.join(with_mate, parsed._k == with_mate._p, "left").select("page_id", "url", "lines", "marks", "hashes", "mate_hashes")
+    gone = deletions(pages).select(F.col("_k").alias("_d"), "gone")
+    rows = pages.select("page_id", "url", "html", row_key().alias("_k"))
+    if gone.isEmpty():
+        joined = rows.select("page_id", "url", "html", F.lit(None).cast("array<int>").alias("gone"))
+    else:
+        joined = rows.join(gone, rows._k == gone._d, "left").select("page_id", "url", "html", "gone")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows = list(zip(*[part.column(k).to_pylist() for k in range(2, 6)]))
-                kept = [main_lines(*r) for r in rows]
+                parsed = [page_lines(x) for x in part.column(2).to_pylist()]
+                kept = [kept_lines(*p, g) for p, g in zip(parsed, part.column(3).to_pylist())]
                 text = ["\n".join(k) for k in kept]
-                cols = [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([len(r[0]) - len(k) for r, k in zip(rows, kept)], pa.int64())]
+                cols = [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array([len(p[0]) for p in parsed], pa.int64()), pa.array([len(p[0]) - len(k) for p, k in zip(parsed, kept)], pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["page_id", "url", "text", "n_chars", "n_lines", "n_deleted"])
 
     return joined.mapInArrow(work, f"page_id {id_type}, url string, text string, n_chars long, n_lines long, n_deleted long")
