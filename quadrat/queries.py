@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from quadrat.functions import columns, geo, nested, stats, text
-from quadrat.operators import graph, judgments, models, rows, sampling, spans, spatial, timeline, vectors
+
+from quadrat.functions import boxes, columns, geo, nested, text
+from quadrat.operators import graph, judgments, models, reports, rows, sampling, spans, spatial, timeline, vectors
 from quadrat.plans import validation
 from quadrat.streaming import events as streams
 
@@ -289,7 +289,7 @@ def q_running_total(spark, d):
 WITH j AS (SELECT event_type AS kind, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 600 + (event_id % 50) * 60 AS e FROM events), g AS (SELECT kind, 1704067200 + (i + 0.5) * 21600 AS t FROM (SELECT DISTINCT kind FROM j), range(40) r(i))
 SELECT g.kind, round(g.t, 1) AS t, count(j.s) AS busy FROM g LEFT JOIN j ON j.kind = g.kind AND greatest(j.s, 1704067200) <= g.t AND least(j.e, 1704067200 + 864000) > g.t AND least(j.e, 1704067200 + 864000) > greatest(j.s, 1704067200) GROUP BY ALL""")
 def q_occupancy_sweep(spark, d):
-    s = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+
     e = t(spark, d, "events").select(F.col("event_type").alias("kind"), F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("s"), F.lit(1).alias("n"), "event_id").withColumn("e", F.col("s") + 600 + (F.col("event_id") % 50) * 60)
     return timeline.occupancy(e, "kind", "s", "e", "n", 1704067200, 1704067200 + 864000, 21600).select("kind", F.round(F.col("t").cast("double"), 1).alias("t"), "busy")
 
@@ -561,3 +561,101 @@ def q_code_ladder(spark, d):
     r = c.select(F.lit("demo").alias("case"), F.lit("m").alias("judge_model"), F.col("conv_id").alias("doc_id"), F.get(kinds, F.pmod(F.xxhash64("text"), F.lit(7)).cast("int")).alias("ingredient_type"), F.col("turn").cast("int").alias("ingredient_index"), F.substring("text", 1, 40).alias("name"), F.lit(True).alias("quote_found"), F.lit(False).alias("answer_truncated"), F.col("turn").cast("int").alias("char_start"),
                  F.to_json(F.struct(F.when(F.col("turn") % 2 == 0, "A").otherwise("B").alias("image"), F.col("role").alias("label"), F.array(F.struct(F.lit("exact").alias("method"))).alias("justification_quotes"))).alias("attrs_json"))
     return spans.trace_codes(r).select("doc_id", "n_ingredients", "differentiated", "integrated", "verdict_labels", "ic_code")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 150000) AS hits, round(count(*) FILTER (WHERE o_totalprice > 150000) / count(*), 6) AS rate FROM orders GROUP BY 1")
+def q_rate_by_group(spark, d):
+    return reports.rate_by(t(spark, d, "orders"), ["o_orderpriority"], F.col("o_totalprice") > 150000).select("o_orderpriority", "n", "hits", rnd("rate").alias("rate"))
+
+
+@query("""
+WITH e AS (SELECT quantile_cont(o_totalprice, [0, 0.25, 0.5, 0.75, 1]) AS e FROM orders), b AS (SELECT *, CASE WHEN o_totalprice <= e[2] THEN 0 WHEN o_totalprice <= e[3] THEN 1 WHEN o_totalprice <= e[4] THEN 2 ELSE 3 END AS band, o_orderstatus = 'F' AS fl, o_custkey % 3 = 0 AS hit FROM orders, e),
+g AS (SELECT band, avg(hit::INT) FILTER (WHERE fl) AS rt, avg(hit::INT) FILTER (WHERE NOT fl) AS rf, least(count(*) FILTER (WHERE fl), count(*) FILTER (WHERE NOT fl)) AS w FROM b GROUP BY band)
+SELECT round(sum((rt - rf) * w) / sum(w), 6) AS contrast, sum(w)::BIGINT AS weight FROM g WHERE rt IS NOT NULL AND rf IS NOT NULL""")
+def q_contrast(spark, d):
+    o = t(spark, d, "orders").withColumn("fl", F.col("o_orderstatus") == "F")
+    return reports.pooled_contrast(reports.rate_by_gap(o, "o_totalprice", "fl", F.col("o_custkey") % 3 == 0)).select(rnd("contrast").alias("contrast"), "weight")
+
+
+@query("""
+WITH m AS (SELECT p_type, avg(p_retailprice) FILTER (WHERE p_brand = 'Brand#11') AS a, avg(p_retailprice) FILTER (WHERE p_brand = 'Brand#12') AS b FROM part GROUP BY 1), n AS (SELECT p_type, (coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0) AS mean FROM m), r AS (SELECT *, row_number() OVER (ORDER BY mean DESC NULLS LAST, p_type) AS rank, count(*) OVER () AS c FROM n)
+SELECT p_type, round(mean, 4) AS mean, rank::INTEGER AS rank, CASE WHEN rank <= 2 THEN 'top' WHEN rank > c - 2 THEN 'bottom' ELSE 'middle' END AS slice FROM r WHERE rank <= 2 OR rank > c - 2 OR (rank > floor((c - 2) / 2) AND rank <= floor((c - 2) / 2) + 2)""")
+def q_bands_top_bottom(spark, d):
+    m = reports.model_means(t(spark, d, "part"), "p_type", "p_brand", "p_retailprice", ["Brand#11", "Brand#12"])
+    return reports.slices(m, "rank", 2).select("p_type", rnd("mean", 4).alias("mean"), "rank", "slice")
+
+
+@query("SELECT event_type, count(*) AS n, round(min(value), 6) AS min, round(avg(value), 6) AS mean, round(max(value), 6) AS max, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
+def q_profile(spark, d):
+    p = reports.profile(t(spark, d, "events"), "value", ["event_type"])
+    return p.select("event_type", "n", *[rnd(c).alias(c) for c in ("min", "mean", "max", "p05", "p50", "p95")])
+
+
+@query("WITH x AS (SELECT lang, unnest(string_split(source, 'c')) AS i FROM documents) SELECT lang, array_to_string(list_sort(list(DISTINCT i)), '|') AS items, count(*) AS n_items FROM x WHERE length(trim(i)) > 0 GROUP BY lang")
+def q_list_flatten(spark, d):
+    x = t(spark, d, "documents").select("lang", F.split("source", "c").alias("items"))
+    return reports.flattened(x, ["lang"], "items").withColumn("items", F.array_join("items", "|"))
+
+
+@query("SELECT c_nationkey, count(*) AS n_keys, coalesce(sum(c), 0)::BIGINT AS n_rows, count(*) FILTER (WHERE c IS NULL) AS n_silent, count(*) FILTER (WHERE c > 1) AS n_repeated, round(coalesce(sum(c), 0) / count(*), 6) AS rows_per_key FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS c FROM orders WHERE o_totalprice > 250000 GROUP BY 1) ON c_custkey = o_custkey GROUP BY 1")
+def q_coverage(spark, d):
+    c = t(spark, d, "customer").select("c_nationkey", "c_custkey")
+    o = t(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")).join(c, "c_custkey")
+    return reports.coverage(c, o, ["c_nationkey"], "c_custkey").withColumn("rows_per_key", rnd("rows_per_key"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS k, round(count(*) FILTER (WHERE o_orderpriority = '5-LOW') / count(*), 6) AS rate FROM orders GROUP BY 1")
+def q_probe_arms(spark, d):
+    return reports.probe_arms(t(spark, d, "orders"), "o_orderstatus", F.col("o_orderpriority") == "5-LOW").select("o_orderstatus", "n", "k", rnd("rate").alias("rate"))
+
+
+@query("""
+WITH j AS (SELECT l_orderkey, l_linenumber, a.p_retailprice - b.s_acctbal AS gap, sign(l_quantity - 25) AS s FROM lineitem JOIN part a ON l_partkey = p_partkey JOIN supplier b ON l_suppkey = s_suppkey)
+SELECT count(*) AS n, round(avg(abs(gap)), 4) AS gap, count(*) FILTER (WHERE sign(gap) = s) AS agrees FROM j WHERE gap <> 0 AND s <> 0""")
+def q_gap_table(spark, d):
+    x = t(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("u_a"), F.concat(F.lit("s"), "l_suppkey").alias("u_b"), F.signum(F.col("l_quantity") - 25).alias("s"))
+    v = t(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("u"), F.col("p_retailprice").alias("v")).unionByName(t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("u"), F.col("s_acctbal").alias("v")))
+    return reports.gap_table(x, v, "u", "v", "s").agg(F.count("*").alias("n"), rnd(F.avg("gap"), 4).alias("gap"), F.count_if("agrees").alias("agrees"))
+
+
+@query("WITH m AS (SELECT median(o_totalprice) AS a, median(o_custkey) AS b FROM orders) SELECT count(*) AS n, round(avg(((o_totalprice > a) = (o_custkey > b))::INT), 6) AS share FROM orders, m")
+def q_same_side(spark, d):
+    return models.same_side_of_median(t(spark, d, "orders"), "o_totalprice", "o_custkey").select("n", rnd("share").alias("share"))
+
+
+@query("SELECT p_partkey, (CASE WHEN p_size * 40 <= 512 THEN 1 ELSE 1 + ceil((p_size * 40 - 512) / 448.0) END)::BIGINT AS n_tiles, least(512, p_size * 40)::BIGINT AS tile_w FROM part")
+def q_tiles(spark, d):
+    p = t(spark, d, "part").select("p_partkey", (F.col("p_size") * 40).alias("w"), F.lit(300).alias("h"))
+    return boxes.tiles(p, "w", "h", 512, 64).groupBy("p_partkey").agg(F.count("*").alias("n_tiles"), F.max("tile_w").cast("long").alias("tile_w"))
+
+
+@query("WITH c AS (SELECT floor(value / 25)::INTEGER AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT bin, label, coalesce(n, 0) AS n FROM (VALUES (0, 'low'), (1, 'mid'), (2, 'high'), (99, 'none')) v(bin, label) LEFT JOIN c USING (bin)")
+def q_binned(spark, d):
+    return reports.binned(t(spark, d, "events"), "value", 25.0, {0: "low", 1: "mid", 2: "high", 99: "none"})
+
+
+@query("SELECT p_brand, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY p_size DESC, p_brand) AS r1 FROM part) WHERE r1 = 1) WHERE r2 = 1")
+def q_best_twice(spark, d):
+    return reports.best_twice(t(spark, d, "part"), "p_brand", "p_partkey", "p_size").select("p_brand", "p_partkey", "p_size")
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) BETWEEN 20 AND 310")
+def q_candidates_in_range(spark, d):
+    return reports.candidates_in_range(t(spark, d, "customer"), "c_mktsegment", 20, 310)
+
+
+@query("SELECT o_orderpriority, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS \"F\", round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 4) AS \"O\" FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) AND o_orderstatus IN ('F', 'O') GROUP BY 1")
+def q_newest_wide(spark, d):
+    o = t(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
+    return reports.newest_wide(o, "o_orderpriority", "y", "o_orderstatus", "o_totalprice", ["F", "O"]).select("o_orderpriority", rnd("F", 4).alias("F"), rnd("O", 4).alias("O"))
+
+
+@query("SELECT event_type, user_id % 10 AS arm, count(*) AS n, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6, 9) AS rows_per_s FROM events GROUP BY ALL")
+def q_runtime_stats(spark, d):
+    e = t(spark, d, "events").withColumn("arm", F.col("user_id") % 10)
+    return reports.runtime_stats(e, ["event_type", "arm"], "ts", "ts").select("event_type", "arm", "n", rnd("rows_per_s", 9).alias("rows_per_s"))
+
+
+@query("SELECT lang, count(source) AS n, count(*) FILTER (WHERE source NOT IN ('src0', 'src1')) AS n_outside FROM documents GROUP BY 1")
+def q_vocabulary_report(spark, d):
+    return reports.vocabulary_report(t(spark, d, "documents"), ["lang"], "source", ["src0", "src1"]).drop("outside")

@@ -75,3 +75,45 @@ def guarded_read(spark: SparkSession, path: str, settings: Mapping, column: str
 def task_json(df: DataFrame, data: Sequence[str], out: str = "task") -> DataFrame:
     """Annotation tasks: {"data": {...}}."""
     return df.select(F.to_json(F.struct(F.struct(*data).alias("data"))).alias(out))
+
+
+def write_json(spark: SparkSession, path: str, value: Mapping) -> None:
+    """Small JSON file, replaced in one rename, on any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(temp, True)
+    out.write(bytearray(json.dumps(value, sort_keys=True, default=str).encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(temp, target):
+        raise OSError(f"cannot rename to {path}")
+
+
+def preview(df: DataFrame, key: str, first: Sequence[str], heavy: Sequence[str] = (), n: int = 1000, seed: object = 0) -> DataFrame:
+    """At most ``n`` rows by hash, without heavy columns, chosen columns first."""
+    kept = [c for c in df.columns if c not in heavy]
+    return df.select(*[c for c in first if c in kept], *[c for c in kept if c not in first]).orderBy(*hash_order(seed, key)).limit(n)
+
+
+def copy_files(df: DataFrame, source: str, target: str, copy) -> DataFrame:
+    """``copy(source, target)`` for every row in the tasks; returns the rows with status ok, missing or the error."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            said = []
+            for a, b in zip(pdf[source], pdf[target]):
+                try:
+                    copy(a, b)
+                    said.append("ok")
+                except FileNotFoundError:
+                    said.append("missing")
+                except OSError as e:
+                    said.append(f"error: {e}"[:200])
+            yield pdf.assign(status=said)
+
+    rows = df.select(source, target)
+    return rows.mapInPandas(work, f"{source} string, {target} string, status string")
