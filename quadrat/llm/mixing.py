@@ -30,6 +30,8 @@ DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = (0.98, 0.02, 0.0)
 #: Labelled documents from which lexicons are chosen, words in each lexicon, and a word's least likelihood ratio.
 LEXICON_DOCS, LEXICON_WORDS, LEAST_RATIO = 8000, 64, 25
+#: Share of a lexicon word's documents that are of its domain, at least.
+PURITY = 0.9
 #: Steps, share of all tokens that a gap may keep, distance from 1 that counts as 1, damping, largest rate.
 STEPS, TOLERANCE, SLACK, DAMP, MOST = 40, 1e-4, 0.1, 0.01, 4.0
 BINS = 12
@@ -68,7 +70,7 @@ def lexicons(docs: DataFrame, labels: DataFrame) -> list[list[int]]:
         rest = F.col("n") - hits
         # the likelihood ratio of a word's documents against their share in the sample
         g2 = 2 * (hits * F.ln((hits + 1e-9) / (F.col("n") * share)) + rest * F.ln((rest + 1e-9) / (F.col("n") * (1 - share))))
-        best = counts.where((hits > F.col("n") * share) & (g2 > LEAST_RATIO)).orderBy(g2.desc(), "w").limit(LEXICON_WORDS)
+        best = counts.where((hits >= F.col("n") * F.greatest(F.lit(share), F.lit(PURITY))) & (g2 > LEAST_RATIO)).orderBy(g2.desc(), "w").limit(LEXICON_WORDS)
         out.append([r[0] for r in best.select(F.xxhash64("w")).collect()])
     return out
 
