@@ -3,13 +3,14 @@
 Lines of ``min_chars`` characters or more take part. Equal lines are merged first (pre-aggregated in
 every task), so copies never meet each other. A line indexes ``threshold`` + 1 segments under its length;
 it probes, for each length not above its own by ``threshold`` at most, the substrings that a segment can
-have become (multi-match-aware positions). Two lines within ``threshold`` edits always meet. Meetings
-whose character parities rule them out are dropped inside the join; the rest are verified by a banded
+have become (multi-match-aware positions). Two lines within ``threshold`` edits always meet. Under a key that
+many lines index, meetings whose character parities rule a link out are dropped inside the join, so a
+group of variants does not emit its pairs. All others are verified by a banded
 bit-parallel edit automaton: one word of 2 * threshold + 1 diagonals per number of errors, stepped once a
 character. All of it is DataFrame and SQL code.
 
 A line occurrence goes if an equal or linked line occurs earlier in the corpus, by (doc_id, line number).
-Verification texts are picked through a bitmap of fixed size, so the whole line table is shuffled once.
+Verification texts are picked through a bitmap of fixed size, so line texts are shuffled once.
 
 Defined cases: a null text has no lines and stays null; a null doc_id ranks after all others; rows with
 the same doc_id and text are one document, with the same decision; an empty table gives an empty result;
@@ -21,13 +22,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from quadrat.llm.shared import staged
+from quadrat.llm.shared import shuffle_width, staged
 
 THRESHOLD = 2
 MIN_CHARS = 40
-#: Characters whose count's parity is kept; one edit changes two parities at most.
-PARITY = "etaoinsrhldcumfpgwy."
+#: Index rows of one key beyond which its lines meet by signature; both ways find the same links.
+CROWD = 8
+#: Classes of characters whose counts' parities make a line's signature; one edit changes two parities at most.
+CLASSES = 61
 BITMAP_BITS = 1 << 24
 
 
@@ -45,13 +49,18 @@ def rank(doc_id: Column, pos: Column) -> Column:
     return F.coalesce(doc_id.cast("decimal(19,0)"), F.lit(9223372036854775807).cast("decimal(19,0)")) * F.lit(2147483648).cast("decimal(10,0)") + pos
 
 
+def line_number(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def signature(line: Column) -> Column:
+    one = F.lit(1).cast("long")
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(F.call_function("shiftleft", one, F.ascii(c) % CLASSES)))
+
+
 def identity(line: Column) -> tuple[Column, Column]:
-    """Two longs for a line; the low bits of the first are its parities."""
-    count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-    sig = F.lit(0).cast("long")
-    for k, c in enumerate(PARITY):
-        sig = sig.bitwiseOR(F.shiftleft(count(c).bitwiseAND(1).cast("long"), k))
-    return F.xxhash64(line).bitwiseAND(-(1 << len(PARITY))).bitwiseOR(sig), F.xxhash64(line, F.lit(7))
+    """Two hashes that stand for a line."""
+    return F.xxhash64(line), F.xxhash64(line, F.lit(7))
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -67,26 +76,29 @@ def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start, base + F.when(F.lit(i) >= short, 1).otherwise(0)
 
 
-def index_keys(threshold: int) -> Column:
-    n, line = F.length("line"), F.col("line")
+def index_rows(lines: DataFrame, threshold: int) -> DataFrame:
+    """(key, a): a row for each segment of a line."""
+    known = lines.select("line", F.length("line").alias("n"))
     keys = []
     for i in range(threshold + 1):
-        start, size = segment(n, i, threshold + 1)
-        keys.append(F.xxhash64(F.substring(line, start, size), F.lit(i), n))
-    return F.array(*keys)
+        start, size = segment(F.col("n"), i, threshold + 1)
+        keys.append(F.xxhash64(F.substring("line", start, size), F.lit(i), F.col("n")))
+    return known.select(line_number(F.col("line")).alias("a"), F.explode(F.array(*keys)).alias("key"))
 
 
-def probe_keys(threshold: int, min_chars: int) -> Column:
-    n, line = F.length("line"), F.col("line")
+def probe_rows(lines: DataFrame, threshold: int) -> DataFrame:
+    """(key, b): a row for each substring that a segment of a line of this length or less can have become.
+
+    Shifts keep every probe inside a line of three times ``threshold`` characters or more.
+    """
+    known, parts = lines.select("line", F.length("line").alias("n")), threshold + 1
     keys = []
     for delta in range(threshold + 1):
-        for i in range(threshold + 1):
-            start, size = segment(n - delta, i, threshold + 1)
+        for i in range(parts):
+            start, size = segment(F.col("n") - delta, i, parts)
             for shift in range(max(-i, delta - (threshold - i)), min(i, delta + (threshold - i)) + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= n) & (n - delta >= min_chars)
-                keys.append(F.when(fits, F.xxhash64(F.substring(line, at, size), F.lit(i), n - delta)))
-    return F.array(*keys)
+                keys.append(F.xxhash64(F.substring("line", start + shift, size), F.lit(i), F.col("n") - delta))
+    return known.select(line_number(F.col("line")).alias("b"), F.explode(F.array(*keys)).alias("key"))
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -97,9 +109,6 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     """
     width = 2 * threshold + 1
     full = (1 << width) - 1
-    left = F.split(a, "")
-    match = lambda c, j: sum((F.when(F.get(left, j + k - threshold) == c, 1 << k).otherwise(0) for k in range(width)), F.lit(0))
-    masks = F.transform(F.split(b, ""), match)
 
     def step(s: Column, e: Column) -> Column:
         now = [s["r0"].bitwiseAND(e)]
@@ -109,41 +118,64 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         return F.struct(*[w.alias(f"r{d}") for d, w in enumerate(now)])
 
     start = F.struct(*[F.lit(sum(1 << (threshold + k) for k in range(d + 1))).alias(f"r{d}") for d in range(threshold + 1)])
-    end = F.shiftleft(F.lit(1), threshold).cast("int")
     goal = F.pow(F.lit(2), F.length(a) - F.length(b) + threshold).cast("int")
-    last = F.aggregate(masks, start, step, lambda s: s[f"r{threshold}"].bitwiseAND(goal) > 0)
-    return F.when(F.abs(F.length(a) - F.length(b)) > threshold, False).otherwise(F.when(F.length(b) == 0, end > 0).otherwise(last))
+
+    def run(left: Column) -> Column:
+        """``left`` is bound by a lambda, so the text is taken apart once."""
+        match = lambda c, j: sum((F.when(F.get(left, j + k - threshold) == c, 1 << k).otherwise(0) for k in range(width)), F.lit(0))
+        masks = F.transform(F.split(b, ""), match)
+        return F.aggregate(masks, start, step, lambda s: s[f"r{threshold}"].bitwiseAND(goal) > 0)
+
+    last = F.get(F.transform(F.array(F.split(a, "")), run), 0)
+    return F.when(F.abs(F.length(a) - F.length(b)) > threshold, False).when((F.length(a) == 0) | (F.length(b) == 0), True).otherwise(last)
 
 
 def picked(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``lines`` whose id may be in ``ids``: a bitmap of at most BITMAP_BITS bits is broadcast."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)) + 1
-    maps = ids.select(spot.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    """Rows of ``lines`` whose hash may be among ``ids``: a bitmap of at most BITMAP_BITS bits is broadcast."""
+    spot = lambda x: F.pmod(F.xxhash64(x), F.lit(BITMAP_BITS)) + 1
+    maps = ids.select(spot(F.col("id")).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("_bits"))
     at = F.bitmap_bit_position("_x")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(_x) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    joined = lines.withColumn("_x", spot).withColumn("_b", F.bitmap_bucket_number("_x")).join(F.broadcast(maps), F.col("_b") == F.col("bucket"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_x) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    joined = lines.withColumn("_x", spot(line_number(F.col("line")))).join(F.broadcast(maps), F.bitmap_bucket_number("_x") == F.col("_bucket"))
     return joined.where(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1).select(*lines.columns)
 
 
-def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """line, place (rank of its first occurrence), copies, id, id2."""
-    rows = occurrences(docs, min_chars)
-    merged = rows.select("line", rank(F.col("doc_id"), F.col("pos")).alias("place")).groupBy("line").agg(F.min("place").alias("place"), F.count("*").alias("copies"))
-    one, two = identity(F.col("line"))
-    return merged.select("line", "place", "copies", one.alias("id"), two.alias("id2"))
+def placed(rows: DataFrame) -> DataFrame:
+    """line and place, the rank of its first occurrence."""
+    return rows.select("line", rank(F.col("doc_id"), F.col("pos")).alias("place")).groupBy("line").agg(F.min("place").alias("place"))
+
 
+def crowded_pairs(docs: DataFrame, found: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """Pairs (a, b) of lines that meet under a crowded key and whose signatures allow a link."""
+    texts = picked(occurrences(docs, min_chars), found.select(F.coalesce("a", "b").alias("id")).distinct()).select("line").distinct()
+    signed = staged(texts.select(line_number(F.col("line")).alias("id"), signature(F.col("line")).alias("sig")), "signatures")
+    side = lambda c: found.where(F.col(c).isNotNull()).select("key", c).distinct().join(signed.select(F.col("id").alias(c), F.col("sig").alias("s" + c)), c)
+    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * threshold
+    return side("a").join(side("b"), "key").where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-def line_links(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+
+def line_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """Every link between different lines: id, id2, place of the earlier line and late_id, late_id2, late_place."""
-    low = (1 << len(PARITY)) - 1
-    index = lines.select(F.explode(index_keys(threshold)).alias("key"), F.col("id").alias("a"))
-    probe = lines.select(F.explode(probe_keys(threshold, min_chars)).alias("key"), F.col("id").alias("b")).where("key is not null")
-    meet = probe.join(index.hint("shuffle_hash"), ["key"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(low)) <= 2 * threshold))
-    pairs = staged(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = staged(picked(lines.select("id", "id2", "place", "line"), need), "pair-lines")
+    if min_chars < 3 * (threshold + 1):
+        raise ValueError("lines must be longer than their segments' shifts")
+    lines = occurrences(docs, min_chars).select("line").distinct()
+    index = index_rows(lines, threshold).withColumn("crowd", F.count("*").over(W.partitionBy("key")))
+    probe = probe_rows(lines, threshold)
+    few, many = index.where(F.col("crowd") <= CROWD), index.where(F.col("crowd") > CROWD)
+    none = F.lit(None).cast("long")
+    meet = probe.join(few.hint("shuffle_hash"), "key").where(F.col("a") != F.col("b")).select(none.alias("key"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), none.alias("head")).distinct()
+    # head is carried so that this side reads the same columns, and so the same shuffle, as the others
+    crowded = many.groupBy("key").agg(F.min("a").alias("head"))
+    asked = probe.join(crowded.hint("shuffle_hash"), "key").select("key", none.alias("a"), "b", "head")
+    found = staged(meet.unionByName(many.select("key", "a", none.alias("b"), none.alias("head"))).unionByName(asked), "meetings")
+    pairs = staged(found.where("key is null").select("a", "b").unionByName(crowded_pairs(docs, found.where("key is not null"), threshold, min_chars)).distinct(), "pairs")
+    texts = placed(picked(occurrences(docs, min_chars), pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+    one, two = identity(F.col("line"))
+    texts = staged(texts.select("line", "place", line_number(F.col("line")).alias("n"), one.alias("id"), two.alias("id2")), "pair-lines")
     side = lambda p: texts.select(*[F.col(c).alias(p + c) for c in texts.columns])
-    both = pairs.join(side("l_"), F.col("a") == F.col("l_id")).join(side("r_"), F.col("b") == F.col("r_id"))
+    both = pairs.join(side("l_"), F.col("a") == F.col("l_n")).join(side("r_"), F.col("b") == F.col("r_n"))
+    # few bytes but much work, so the rows are spread over all partitions
+    both = both.repartition(shuffle_width(docs.sparkSession))
     true = both.where(within(F.col("l_line"), F.col("r_line"), threshold))
     first = F.struct("l_place", "l_id", "l_id2") < F.struct("r_place", "r_id", "r_id2")
     pick = lambda c, one, two: F.when(first, F.col(one + c)).otherwise(F.col(two + c))
@@ -152,14 +184,14 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
 def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, _k, dropped (line numbers from 0, sorted), n_links for documents with something to say."""
-    lines = distinct_lines(docs, min_chars)
-    links = staged(line_links(lines, threshold, min_chars), "links")
+    links = staged(line_links(docs, threshold, min_chars), "links")
+    one, two = identity(F.col("line"))
+    where = occurrences(docs, min_chars).select("doc_id", "_k", "pos", one.alias("id"), two.alias("id2"))
+    repeated = where.groupBy("id", "id2").agg(F.min(rank(F.col("doc_id"), F.col("pos"))).alias("place"), F.count("*").alias("copies")).where("copies > 1")
     ends = links.select(F.explode(F.array(F.struct("id", "id2", F.lit(False).alias("near")), F.struct(F.col("late_id").alias("id"), F.col("late_id2").alias("id2"), F.lit(True).alias("near")))).alias("e"))
     marks = ends.select("e.id", "e.id2", F.lit(None).cast("decimal(38,0)").alias("place"), "e.near", F.lit(1).alias("links"))
-    repeated = lines.where("copies > 1").select("id", "id2", F.col("place").cast("decimal(38,0)"), F.lit(False).alias("near"), F.lit(0).alias("links"))
+    repeated = repeated.select("id", "id2", F.col("place").cast("decimal(38,0)"), F.lit(False).alias("near"), F.lit(0).alias("links"))
     flags = repeated.unionByName(marks).groupBy("id", "id2").agg(F.min("place").alias("place"), F.max("near").alias("near"), F.sum("links").alias("links"))
-    one, two = identity(F.col("line"))
-    where = occurrences(docs, min_chars).select("doc_id", "_k", "pos", one.alias("id"), two.alias("id2"))
     hit = where.join(flags, ["id", "id2"])
     late = F.col("near") | (F.col("place").isNotNull() & (rank(F.col("doc_id"), F.col("pos")) != F.col("place")))
     return hit.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_set(F.when(late, F.col("pos")))).alias("dropped"), F.sum("links").alias("n_links"))
