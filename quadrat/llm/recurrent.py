@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ CLASSES = FREQUENT // CLASS_WORDS
 END_CLASS = CLASSES + RARE_CLASSES
 INPUTS = FREQUENT + RARE_CLASSES + 1
 WINDOW, LANES, SCORE_LANES, RATE = 16, 64, 256, 0.01
+REAL = np.float32
 #: The share of training documents that the network learns from, and the corpus size up to which it is all.
 TRAIN_SHARE, TRAIN_DOCS = 0.05, 4000
 PART = 1000
@@ -88,7 +90,9 @@ class Lexicon:
     """What the network and the base score know of the corpus; of bounded size."""
 
     def __init__(self, frequent: list[tuple[int, int]], rare: list[float], total: int, kinds: int, n_docs: int):
-        self.row = {k: i for i, (k, _) in enumerate(frequent)}
+        keys = np.array([k for k, _ in frequent], np.int64)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
         self.count = np.array([c for _, c in frequent], float)
         self.rare = np.array(rare)
         self.n, self.v, self.n_docs = total, kinds, n_docs
@@ -198,9 +202,9 @@ def gradients(p: dict, ids, first, out_class, slot, live, h0):
     n, steps = ids.shape
     hs, last, cache = forward(p, ids, first, h0, keep=True)
     flat = hs.reshape(-1, HIDDEN)
-    oc, sl, w = out_class.T.ravel(), slot.T.ravel(), live.T.ravel().astype(float)
+    oc, sl, w = out_class.T.ravel(), slot.T.ravel(), live.T.ravel().astype(REAL)
     total = max(1.0, w.sum())
-    g = {k: np.zeros(s) for k, s in SHAPES.items()}
+    g = {k: np.zeros(s, REAL) for k, s in SHAPES.items()}
     lp = log_softmax(flat @ p["Wc"] + p["bc"])
     d = np.exp(lp)
     rows = np.arange(len(flat))
@@ -219,7 +223,7 @@ def gradients(p: dict, ids, first, out_class, slot, live, h0):
         g["Ww"][k], g["bw"][k] = flat[at].T @ e, e.sum(0)
         dh_out[at] += e @ p["Ww"][k].T
     dh_out = dh_out.reshape(steps, n, HIDDEN)
-    dh = np.zeros((n, HIDDEN))
+    dh, das = np.zeros((n, HIDDEN), REAL), np.empty((steps, n, 3 * HIDDEN), REAL)
     for t in range(steps - 1, -1, -1):
         h, z, r, un, c = cache[t]
         dh = dh + dh_out[t]
@@ -227,34 +231,38 @@ def gradients(p: dict, ids, first, out_class, slot, live, h0):
         dz = dh * (h - c) * z * (1 - z)
         dr = dc * un * r * (1 - r)
         du = np.concatenate([dz, dr, dc * r], axis=1)
-        da = np.concatenate([dz, dr, dc], axis=1)
+        das[t] = np.concatenate([dz, dr, dc], axis=1)
         g["U"] += h.T @ du
-        np.add.at(g["G"], ids[:, t], da)
         dh = dh * z + du @ p["U"].T
         dh[first[:, t]] = 0
+    flat_ids = ids.T.ravel()
+    order = np.argsort(flat_ids, kind="stable")
+    ranked = flat_ids[order]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(ranked)) + 1])
+    g["G"][ranked[starts]] = np.add.reduceat(das.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
     return loss / total, g, last
 
 
 def train(p: dict, docs: list[np.ndarray], outs: list[tuple[np.ndarray, np.ndarray]]) -> dict:
     """One pass over the documents (input ids; class and slot of each target) with Adam."""
-    p = {k: v.copy() for k, v in p.items()}
+    p = {k: v.astype(REAL) for k, v in p.items()}
     owner, place, first = pack(docs, LANES)
     ids, oc, sl = np.concatenate(docs)[place], np.concatenate([o[0] for o in outs])[place], np.concatenate([o[1] for o in outs])[place]
     live = owner >= 0
-    m, v, step = {k: np.zeros(s) for k, s in SHAPES.items()}, {k: np.zeros(s) for k, s in SHAPES.items()}, 0
-    h = np.zeros((len(ids), HIDDEN))
+    m, v, step = {k: np.zeros(s, REAL) for k, s in SHAPES.items()}, {k: np.zeros(s, REAL) for k, s in SHAPES.items()}, 0
+    h = np.zeros((len(ids), HIDDEN), REAL)
     for at in range(0, ids.shape[1], WINDOW):
         w = slice(at, at + WINDOW)
         if live[:, w].sum() < 8:
             continue
         _, g, h = gradients(p, ids[:, w], first[:, w], oc[:, w], sl[:, w], live[:, w], h)
         norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        scale, step = min(1.0, 1.0 / (norm + 1e-12)), step + 1
+        scale, step = REAL(min(1.0, 1.0 / (norm + 1e-12))), step + 1
         for k in SHAPES:
             x = g[k] * scale
-            m[k] += 0.1 * (x - m[k])
-            v[k] += 0.01 * (x * x - v[k])
-            p[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+            m[k] += REAL(0.1) * (x - m[k])
+            v[k] += REAL(0.01) * (x * x - v[k])
+            p[k] -= REAL(RATE / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] * REAL(1 / (1 - 0.99**step))) + REAL(1e-6))
     return p
 
 
@@ -270,14 +278,60 @@ def unflatten(x: np.ndarray) -> dict:
     return out
 
 
-def codes(word: bytes, lex: Lexicon) -> tuple[int, int, int, int]:
-    """(key, input row, output class, slot) of a word."""
-    key = word_key(word)
-    row = lex.row.get(key)
-    if row is None:
-        r = key & (RARE_CLASSES - 1)
-        return key, FREQUENT + r, CLASSES + r, 0
-    return key, row, row // CLASS_WORDS, row % CLASS_WORDS
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of ``keys`` in a sorted array, whether they are there)."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def codes(keys: np.ndarray, lex: Lexicon) -> np.ndarray:
+    """Input row, output class and slot of each key."""
+    at, common = find(lex.keys, keys)
+    row = lex.order[at] if len(lex.order) else at
+    rare = keys & (RARE_CLASSES - 1)
+    return np.stack([np.where(common, row, FREQUENT + rare), np.where(common, row // CLASS_WORDS, CLASSES + rare), np.where(common, row % CLASS_WORDS, 0)], axis=1).astype(np.int32)
+
+
+def unigrams(keys: np.ndarray, lex: Lexicon, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base log10 probability, log10 share in its rare class or 0, whether trained on) of each key; ``known`` is sorted."""
+    at, there = find(known, keys)
+    c = np.where(there, counts[at] if len(counts) else 0, 0).astype(float)
+    _, common = find(lex.keys, keys)
+    inside = np.where(common, 0.0, np.log10((c + 0.1) / lex.rare[keys & (RARE_CLASSES - 1)]))
+    return np.log10(c + 0.1) - lex.base_floor, inside, c > 0
+
+
+class WordTable:
+    """Words met in a task as places in an array of keys, so that a text becomes one array of places."""
+
+    def __init__(self, most: int = 500_000):
+        self.most = most
+        self.place: dict[bytes, int] = {}
+        self.keys = array("q")
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        get = self.place.get
+        out = [get(w, -1) for w in words]
+        if -1 in out:
+            for i, k in enumerate(out):
+                if k < 0:
+                    w = words[i]
+                    if w not in self.place:
+                        self.place[w] = len(self.keys)
+                        self.keys.append(word_key(w))
+                    out[i] = self.place[w]
+        return np.array(out, np.int64)
+
+    def array(self) -> np.ndarray:
+        return np.array(self.keys, np.int64)
+
+    def trim(self) -> None:
+        """Called between batches: places already handed out must stay valid within one."""
+        if len(self.keys) > self.most:
+            self.place.clear()
+            self.keys = array("q")
 
 
 def fit_network(docs: DataFrame, lex: Lexicon, share: float) -> dict:
@@ -286,25 +340,17 @@ def fit_network(docs: DataFrame, lex: Lexicon, share: float) -> dict:
     picked = docs.where(~held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))).select("text", F.spark_partition_id().alias("part"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[bytes, tuple] = {}
+        table = WordTable()
         p, seen, pending, part = start, 0, [], 0
 
         def learn() -> None:
             nonlocal p, seen
-            docs_, outs = [], []
-            for text in pending:
-                got = []
-                for w in tokens(text):
-                    c = table.get(w)
-                    if c is None:
-                        if len(table) > 300_000:
-                            table.clear()
-                        c = table[w] = codes(w, lex)[1:]
-                    got.append(c)
-                x = np.array(got, np.int64).reshape(-1, 3)
-                docs_.append(np.concatenate([[INPUTS - 1], x[:, 0]]))
-                outs.append((np.concatenate([x[:, 1], [END_CLASS]]), np.concatenate([x[:, 2], [0]])))
-                seen += len(x) + 1
+            at = [table.places(tokens(text)) for text in pending]
+            x = codes(table.array(), lex).astype(np.int64)
+            docs_ = [np.concatenate([[INPUTS - 1], x[k, 0]]) for k in at]
+            outs = [(np.concatenate([x[k, 1], [END_CLASS]]), np.concatenate([x[k, 2], [0]])) for k in at]
+            seen += sum(len(k) + 1 for k in at)
+            table.trim()
             if docs_:
                 p = train(p, docs_, outs)
             pending.clear()
@@ -334,17 +380,15 @@ def fit_network(docs: DataFrame, lex: Lexicon, share: float) -> dict:
     return unflatten(np.concatenate([np.array(r["x"]) / r["w"] for r in rows])) if rows else start
 
 
-def score_documents(p: dict, lex: Lexicon, texts: list[str | None], table: dict[bytes, tuple], fill) -> list[tuple[int, int, float, float]]:
-    """(n_tokens, n_known, base score, score) of each text; ``fill`` makes the entry of a word that ``table`` lacks."""
-    ins, outs, stats = [], [], []
+def score_documents(p: dict, lex: Lexicon, texts: list[str | None], table: WordTable, known: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """(n_tokens, n_known, base score, score) of each text; ``known`` (sorted keys) and ``counts`` are what training counted."""
     end_base = math.log10(lex.n_docs + 0.1) - lex.base_floor
-    for text in texts:
-        got = [table.get(w) or fill(w) for w in tokens(text)]
-        x = np.array(got, float).reshape(-1, 6)
-        i = x[:, :3].astype(np.int32)
-        ins.append(np.concatenate([[INPUTS - 1], i[:, 0]]).astype(np.int32))
-        outs.append((np.concatenate([i[:, 1], [END_CLASS]]), np.concatenate([i[:, 2], [0]])))
-        stats.append((len(got) + 1, int(x[:, 5].sum()) + (lex.n_docs > 0), float(x[:, 3].sum()) + end_base, float(x[:, 4].sum())))
+    at = [table.places(tokens(text)) for text in texts]
+    codes_ = codes(table.array(), lex)
+    base, inside, is_known = unigrams(table.array(), lex, known, counts)
+    ins = [np.concatenate([[INPUTS - 1], codes_[k, 0]]).astype(np.int32) for k in at]
+    outs = [(np.concatenate([codes_[k, 1], [END_CLASS]]), np.concatenate([codes_[k, 2], [0]])) for k in at]
+    stats = [(len(k) + 1, int(is_known[k].sum()) + (lex.n_docs > 0), float(base[k].sum()) + end_base, float(inside[k].sum())) for k in at]
     owner, place, first = pack(ins, SCORE_LANES)
     flat_in, flat_c, flat_s = np.concatenate(ins), np.concatenate([o[0] for o in outs]), np.concatenate([o[1] for o in outs])
     sums = np.zeros(len(texts))
@@ -393,23 +437,16 @@ def score(docs: DataFrame) -> DataFrame:
 
     def work(d: pa.Table, words: pa.Table) -> pa.Table:
         lex, p = known.value
-        count = dict(zip(words.column("key").to_pylist(), words.column("c").to_pylist()))
-        table: dict[bytes, tuple] = {}
-
-        def fill(w: bytes) -> tuple:
-            key, row, oc, slot = codes(w, lex)
-            c = count.get(key, 0)
-            inside = 0.0 if row < FREQUENT else math.log10((c + 0.1) / lex.rare[key & (RARE_CLASSES - 1)])
-            table[w] = out = row, oc, slot, math.log10(c + 0.1) - lex.base_floor, inside, float(c > 0)
-            return out
-
+        keys, counts = words.column("key").to_numpy(), words.column("c").to_numpy()
+        order = np.argsort(keys)
+        keys, counts, table = keys[order], counts[order], WordTable()
         rows: list[tuple] = []
         text = d.column("text")
         sizes = np.cumsum(np.array(pa.compute.fill_null(pa.compute.utf8_length(text), 0)))
         cuts = [0, *(np.flatnonzero(np.diff(sizes // 8_000_000)) + 1).tolist(), d.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if a < b:
-                rows += score_documents(p, lex, text.slice(a, b - a).to_pylist(), table, fill)
+                rows += score_documents(p, lex, text.slice(a, b - a).to_pylist(), table, keys, counts)
         cols = list(zip(*rows)) if rows else [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([d.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
