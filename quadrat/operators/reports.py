@@ -80,10 +80,10 @@ def profile(df: DataFrame, column: str, by: Sequence[str] = (), points: Sequence
     return df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.min(column).alias("min"), F.avg(column).alias("mean"), F.max(column).alias("max"), *[F.percentile(column, F.lit(p)).alias(f"p{round(p * 100):02d}") for p in points])
 
 
-def runtime_stats(df: DataFrame, by: Sequence[str], started: str, ended: str, devices: Column = F.lit(1)) -> DataFrame:
+def runtime_stats(df: DataFrame, by: Sequence[str], started: str, ended: str, devices: int = 1) -> DataFrame:
     """Rows, span in seconds, rows a second, and that a device."""
     span = (F.unix_micros(F.max(F.col(ended).cast("timestamp"))) - F.unix_micros(F.min(F.col(started).cast("timestamp")))) / 1e6
-    g = df.groupBy(*by).agg(F.count("*").alias("n"), span.alias("seconds"), F.max(devices).alias("devices"))
+    g = df.groupBy(*by).agg(F.count("*").alias("n"), span.alias("seconds"), F.max(F.lit(devices)).alias("devices"))
     return g.withColumn("rows_per_s", F.try_divide(F.col("n"), F.col("seconds"))).withColumn("rows_per_s_device", F.try_divide(F.col("rows_per_s"), F.col("devices")))
 
 
