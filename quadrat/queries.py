@@ -287,7 +287,7 @@ def q_running_total(spark, d):
 
 @query("""
 WITH j AS (SELECT event_type AS kind, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 600 + (event_id % 50) * 60 AS e FROM events), g AS (SELECT kind, 1704067200 + (i + 0.5) * 21600 AS t FROM (SELECT DISTINCT kind FROM j), range(40) r(i))
-SELECT g.kind, round(g.t, 1) AS t, count(j.s) AS busy FROM g LEFT JOIN j ON j.kind = g.kind AND greatest(j.s, 1704067200) <= g.t AND least(j.e, 1704067200 + 864000) > g.t AND least(j.e, 1704067200 + 864000) > greatest(j.s, 1704067200) GROUP BY ALL""")
+SELECT g.kind, CAST(round(g.t, 1) AS DOUBLE) AS t, count(j.s) AS busy FROM g LEFT JOIN j ON j.kind = g.kind AND greatest(j.s, 1704067200) <= g.t AND least(j.e, 1704067200 + 864000) > g.t AND least(j.e, 1704067200 + 864000) > greatest(j.s, 1704067200) GROUP BY ALL""")
 def q_occupancy_sweep(spark, d):
 
     e = t(spark, d, "events").select(F.col("event_type").alias("kind"), F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("s"), F.lit(1).alias("n"), "event_id").withColumn("e", F.col("s") + 600 + (F.col("event_id") % 50) * 60)
