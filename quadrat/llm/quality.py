@@ -137,6 +137,13 @@ def first_failure(f: Features, order: list[str], by_name: dict[str, Callable]) -
     return None
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Small batches, since the features of all texts of a batch are held together."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def annotate(docs: DataFrame, report: tuple[str, ...] = (), rules: list[Rule] = RULES, order: list[str] | None = None) -> DataFrame:
     """Per row: doc_id, the features named in ``report``, base_failed, failed_rule (null if none), kept."""
     order = order or plan_cascade(docs, rules)
@@ -144,7 +151,7 @@ def annotate(docs: DataFrame, report: tuple[str, ...] = (), rules: list[Rule] =
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fs = [Features(t) for t in batch.column(1).to_pylist()]
             cols = [batch.column(0)]
             cols += [pa.array([getattr(f, name) for f in fs], pa.int64()) for name in report]
@@ -164,7 +171,7 @@ def keep(docs: DataFrame, rules: list[Rule] = RULES, order: list[str] | None = N
     by_name, at = dict(rules), docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ok = [first_failure(Features(t), order, by_name) is None for t in batch.column(at).to_pylist()]
             yield batch.filter(pc.fill_null(pa.array(ok, pa.bool_()), False))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.shared import components, staged
+from quadrat.llm.shared import components, small_batches, staged
 
 RADIUS = 3
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -58,7 +58,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            # texts become Python objects one at a time
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {id_type}, fp long")
@@ -150,7 +151,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable."""
-    prints = staged(fingerprints(docs, shingle), "fingerprints")
+    with small_batches(docs.sparkSession):
+        prints = staged(fingerprints(docs, shingle), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     root = components(links(distinct, radius))
     mine = distinct.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
