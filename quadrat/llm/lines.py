@@ -192,6 +192,8 @@ def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_
     marks = ends.select("e.id", "e.id2", F.lit(None).cast("decimal(38,0)").alias("place"), "e.near", F.lit(1).alias("links"))
     repeated = repeated.select("id", "id2", F.col("place").cast("decimal(38,0)"), F.lit(False).alias("near"), F.lit(0).alias("links"))
     flags = repeated.unionByName(marks).groupBy("id", "id2").agg(F.min("place").alias("place"), F.max("near").alias("near"), F.sum("links").alias("links"))
+    # written, so that the join below deals both sides out itself and AQE may split the rows of a common line
+    flags = staged(flags, "line-flags")
     hit = where.join(flags, ["id", "id2"])
     late = F.col("near") | (F.col("place").isNotNull() & (rank(F.col("doc_id"), F.col("pos")) != F.col("place")))
     return hit.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_set(F.when(late, F.col("pos")))).alias("dropped"), F.sum("links").alias("n_links"))
