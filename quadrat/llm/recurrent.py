@@ -6,10 +6,9 @@ The ``FREQUENT`` commonest words form equal classes by frequency; all other word
 word, seen or not, has a probability. The end is a class of its own. The output softmax is factored:
 class first, then the word within its class.
 
-Training: every task trains its own copy from the common start (the unigram model) on a fixed share of
-its training documents, by truncated backpropagation through windows of ``WINDOW`` steps with the state
-carried from window to window; parameters are averaged, weighted by tokens. The share of documents is
-the same at every size beyond ``TRAIN_DOCS`` documents, so what is learnt from grows with the input.
+Training: every task trains its own copy from the common start (the unigram model) on all of its training
+documents, by truncated backpropagation through windows of ``WINDOW`` steps with the state carried from
+window to window; parameters are averaged, weighted by tokens.
 
 Scoring: documents are dealt into buckets; the distinct words of a bucket fetch their counts through one
 join; each bucket is scored with that dictionary, documents packed into lanes, state carried across
@@ -43,8 +42,6 @@ END_CLASS = CLASSES + RARE_CLASSES
 INPUTS = FREQUENT + RARE_CLASSES + 1
 WINDOW, LANES, SCORE_LANES, RATE = 16, 64, 256, 0.01
 REAL = np.float32
-#: The share of training documents that the network learns from, and the corpus size up to which it is all.
-TRAIN_SHARE, TRAIN_DOCS = 0.05, 4000
 PART = 1000
 SHAPES = {"G": (INPUTS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "Wc": (HIDDEN, END_CLASS + 1), "bc": (END_CLASS + 1,), "Ww": (CLASSES, HIDDEN, CLASS_WORDS), "bw": (CLASSES, CLASS_WORDS)}
 
@@ -334,10 +331,10 @@ class WordTable:
             self.keys = array("q")
 
 
-def fit_network(docs: DataFrame, lex: Lexicon, share: float) -> dict:
-    """Train in every task on its share of training documents; average the parameters by tokens."""
+def fit_network(training: DataFrame, lex: Lexicon) -> dict:
+    """Train in every task on its training documents; average the parameters by tokens."""
     start = lex.start()
-    picked = docs.where(~held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))).select("text", F.spark_partition_id().alias("part"))
+    picked = training.select("text", F.spark_partition_id().alias("part"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
@@ -418,7 +415,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = staged(count_words(training), "word-counts")
     n_docs = training.select("doc_id").count()
     lex = lexicon(counts, n_docs)
-    network = fit_network(texts, lex, max(TRAIN_SHARE, min(1.0, TRAIN_DOCS / max(1, n_docs))))
+    network = fit_network(training, lex)
     known = spark.sparkContext.broadcast((lex, {k: v.astype(np.float32) for k, v in network.items()}))
     width = shuffle_width(spark)
     dealt = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(width)).cast("int").alias("bucket")).repartition(width, "bucket")

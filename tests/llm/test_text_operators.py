@@ -355,6 +355,32 @@ def test_model_learns_what_the_base_cannot(spark):
     assert held["s"] > held["b"] + 0.05 * held["n"]
 
 
+def test_network_learns_from_every_training_document(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    words = vocabulary(4, 60)
+    texts = [" ".join(r.choices(words, k=6)) for _ in range(5500)]
+    docs = docs_of(spark, texts).coalesce(1)
+    training = docs.where(~recurrent.held_out(F.col("doc_id")))
+    rows, n = training.collect(), training.count()
+    assert n > 4500
+    counts = recurrent.count_words(training)
+    lex = recurrent.lexicon(counts, n)
+    table = recurrent.WordTable()
+    at = [table.places(recurrent.tokens(x.text)) for x in rows]
+    c = recurrent.codes(table.array(), lex).astype(np.int64)
+    ins = [np.concatenate([[recurrent.INPUTS - 1], c[k, 0]]) for k in at]
+    outs = [(np.concatenate([c[k, 1], [recurrent.END_CLASS]]), np.concatenate([c[k, 2], [0]])) for k in at]
+    p = {k: v.astype(np.float32) for k, v in recurrent.train(lex.start(), ins, outs).items()}
+    seen = sorted(map(tuple, counts.collect()))
+    known, n_seen = np.array([k for k, _ in seen]), np.array([m for _, m in seen])
+    all_ = docs.collect()
+    want = recurrent.score_documents(p, lex, [x.text for x in all_], recurrent.WordTable(), known, n_seen)
+    got = {x.doc_id: x.score for x in recurrent.score(docs).collect()}
+    assert max(abs(got[x.doc_id] - w[3]) for x, w in zip(all_, want)) < 1e-3
+
+
 # --- mixing
 
 
