@@ -3,8 +3,9 @@
 Centroids are fitted by balanced k-means to a bounded sample; every distinct vector is indexed. A vector
 near a boundary is replicated to each cluster whose centroid is within ``(1 + REPLICATE)`` of its nearest
 centroid's distance and not hidden behind a nearer chosen centroid. Centroids are searched through an
-in-memory neighbour graph by best-first search. A query reads the lists whose distance ratio to its
-nearest centroid is at most ``1 + PROBE``. Lists are cut into blocks of ``BLOCK_ROWS`` vectors, so a long
+in-memory neighbour graph by best-first search. A query reads every list whose distance ratio to its
+nearest centroid is at most ``1 + probe``; no number limits them. ``probe`` is ``PROBE`` or more: it is widened
+until sampled queries find ``RECALL`` of their exact nearest. Lists are cut into blocks of ``BLOCK_ROWS`` vectors, so a long
 list is scored by many tasks, and every block returns its best 20, so merges stay small.
 
 Vectors of different length are compared by inner product: distances use the reduction that adds one
@@ -20,6 +21,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,10 @@ from quadrat.llm.shared import staged
 
 TOP, QUERY_STEP = 20, 20
 SAMPLE, LIST_ROWS, MAX_LISTS = 16384, 96, 1024
-REPLICATE, MAX_COPIES, PROBE, MIN_LISTS, BEAM, DEGREE = 0.10, 4, 0.22, 12, 96, 24
+REPLICATE, MAX_COPIES, PROBE, MIN_LISTS, DEGREE = 0.10, 4, 0.22, 12, 24
 BLOCK_ROWS = 4096
+#: Queries whose exact nearest set the probe, and the share of these that its lists must hold (0.9 is asked for).
+TRIALS, RECALL = 256, 0.95
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
@@ -97,7 +101,7 @@ class Index:
     """Centroids with a neighbour graph; searched best-first, many vectors at a time."""
 
     def __init__(self, centroids: np.ndarray, peak: float):
-        self.c, self.peak = centroids, peak
+        self.c, self.peak, self.probe = centroids, peak, PROBE
         n = len(centroids)
         d = ((centroids[:, None, :] - centroids[None, :, :]) ** 2).sum(2) if n <= 256 else (centroids**2).sum(1)[:, None] - 2 * centroids @ centroids.T + (centroids**2).sum(1)[None]
         self.apart = np.sqrt(np.maximum(d, 0))
@@ -112,7 +116,7 @@ class Index:
         extra = np.zeros(len(v)) if query else np.sqrt(np.maximum(self.peak - (v**2).sum(1), 0))
         return np.concatenate([v, extra[:, None]], axis=1)
 
-    def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, beam: int = 96) -> tuple[np.ndarray, np.ndarray]:
         """Distances and numbers of up to ``beam`` near centroids for each row, nearest first."""
         n, m = len(self.c), len(x)
         beam = min(beam, n)
@@ -161,15 +165,25 @@ class Index:
 
     def lists_for(self, q: np.ndarray) -> list[np.ndarray]:
         """The lists that each query reads: ratio pruning, with a least number."""
+        d = self.distances(q)
+        near = np.argsort(d, axis=1, kind="stable")
+        return [row[(d_[row] <= (1 + self.probe) * d_[row[0]]) | (np.arange(len(row)) < MIN_LISTS)] for d_, row in zip(d, near)]
+
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Distances of queries to all centroids."""
         # scaled to the longest vector's length: order by inner product does not change
-        scaled = q * (np.sqrt(self.peak) / np.sqrt((q**2).sum(1)))[:, None]
-        d, near = self.search(self.lift(scaled, True))
-        out = []
-        for row_d, row in zip(d, near):
-            keep = np.isfinite(row_d) & (row_d <= (1 + PROBE) * row_d[0])
-            keep[:MIN_LISTS] = np.isfinite(row_d[:MIN_LISTS])
-            out.append(row[keep])
-        return out
+        x = self.lift(q * (np.sqrt(self.peak) / np.sqrt((q**2).sum(1)))[:, None], True)
+        return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ self.c.T + (self.c**2).sum(1)[None], 0))
+
+    def calibrate(self, q: np.ndarray, nearest: list[np.ndarray]) -> None:
+        """Widen the probe until the lists of queries ``q`` hold ``RECALL`` of their exact ``nearest`` vectors."""
+        d = self.distances(q)
+        need = []
+        for d_, v in zip(d, nearest):
+            need += [d_[lists].min() / max(d_.min(), 1e-12) - 1 for lists in self.lists_of(v)] if len(v) else []
+        if need:
+            need.sort()
+            self.probe = max(PROBE, float(need[math.ceil(RECALL * len(need)) - 1]) + 1e-9)
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> Index | None:
@@ -181,7 +195,39 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> Index | None:
     x = np.array([r[0] for r in rows])
     k = int(min(MAX_LISTS, max(1, stats["n"] // LIST_ROWS), len(x)))
     lifted = np.concatenate([x, np.sqrt(np.maximum(stats["peak"] - (x**2).sum(1), 0))[:, None]], axis=1)
-    return Index(balanced_means(lifted, k), float(stats["peak"]))
+    index = Index(balanced_means(lifted, k), float(stats["peak"]))
+    trials = x[:TRIALS]
+    index.calibrate(trials, exact_nearest(vectors, trials))
+    return index
+
+
+def exact_nearest(vectors: DataFrame, q: np.ndarray, top: int = TOP) -> list[np.ndarray]:
+    """The ``top`` vectors of largest inner product of each query, itself aside, by one pass over all."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.empty(0), np.empty((0, q.shape[1]))) for _ in q]
+        for batch in batches:
+            v = np.array(batch.column(0).to_pylist()).reshape(batch.num_rows, -1)
+            if not len(v):
+                continue
+            scores = q @ v.T
+            for i, s in enumerate(scores):
+                s = np.where((v == q[i]).all(1), -np.inf, s) if s.max() >= (q[i] ** 2).sum() * (1 - 1e-9) else s
+                at = np.argsort(-s)[:top]
+                at = at[np.isfinite(s[at])]
+                s, x = np.concatenate([best[i][0], s[at]]), np.concatenate([best[i][1], v[at]])
+                keep = np.argsort(-s)[:top]
+                best[i] = s[keep], x[keep]
+        for i, (s, x) in enumerate(best):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int32)), pa.array(s), pa.array(list(x), pa.list_(pa.float64()))], names=["i", "s", "v"])
+
+    found = vectors.select("v").mapInArrow(work, "i int, s double, v array<double>")
+    rows = found.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("s")))).where(F.col("r") <= top).select("i", "v").collect()
+    out: list[list] = [[] for _ in q]
+    for r in rows:
+        out[r["i"]].append(r["v"])
+    return [np.array(v).reshape(len(v), q.shape[1]) for v in out]
 
 
 def inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -245,7 +291,33 @@ def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFrame
         none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.list_(pa.int64()))], names=["qkey", "key", "score", "ids"])
         return pa.concat_tables(parts) if parts else none
 
-    found = asked.groupBy("list", "block").cogroup(cut.groupBy("list", "block")).applyInArrow(score, "qkey long, key long, score double, ids array<long>")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of a task's blocks for each query, all that equal the last along, so many lists stay few rows."""
+
+        def best(t: pa.Table) -> pa.Table:
+            qkey, key, s = (t.column(c).to_numpy() for c in ("qkey", "key", "score"))
+            order = np.lexsort((key, -s, qkey))
+            qkey, key, s = qkey[order], key[order], s[order]
+            # a vector's copies in several lists are one
+            new = np.concatenate([[True], (qkey[1:] != qkey[:-1]) | (key[1:] != key[:-1]) | (s[1:] != s[:-1])])
+            order, qkey, s = order[new], qkey[new], s[new]
+            edge = np.flatnonzero(np.concatenate([[True], qkey[1:] != qkey[:-1]]))
+            sizes = np.diff(np.concatenate([edge, [len(qkey)]]))
+            last = np.where(sizes > top, s[np.minimum(edge + top, len(s) - 1)], -np.inf)
+            return t.take(pa.array(order[s >= np.repeat(last, sizes)]))
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > 1_000_000:
+                held = best(pa.Table.from_batches(held)).to_batches()
+                n = sum(b.num_rows for b in held) // 2
+        if sum(b.num_rows for b in held):
+            yield from best(pa.Table.from_batches(held)).to_batches(max_chunksize=10_000)
+
+    result_rows = "qkey long, key long, score double, ids array<long>"
+    found = asked.groupBy("list", "block").cogroup(cut.groupBy("list", "block")).applyInArrow(score, result_rows).mapInArrow(merge, result_rows)
     near = found.dropDuplicates(["qkey", "key"]).select("qkey", "score", F.explode("ids").alias("vec_id"))
     # top + 1 ids a distinct query vector; the query's own row is taken out afterwards
     order = W.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")

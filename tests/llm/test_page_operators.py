@@ -232,6 +232,26 @@ def test_recall_on_clustered_vectors_of_uneven_length(spark):
     assert all(s == exact[q][i] for q, g in got.items() for i, s in g if i in exact[q])
 
 
+def test_recall_on_many_embeddings_without_structure_to_prune(spark, tmp_path):
+    """64-d unit vectors of any direction, where a fixed number of lists reads too little."""
+    import pyarrow as pa
+    import pyarrow.parquet
+
+    rng = np.random.default_rng(6)
+    n = 50_000
+    x = rng.normal(0, 1, (n, 64))
+    x = (x / np.sqrt((x**2).sum(1))[:, None]).astype(np.float32)
+    pa.parquet.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), str(tmp_path / "x.parquet"))
+    got = found(spark.read.parquet(str(tmp_path / "x.parquet")))
+    q = np.arange(0, n, 20)
+    s = x[q].astype(float) @ x.astype(float).T
+    s[np.arange(len(q)), q] = -np.inf
+    want = np.argpartition(-s, 20, axis=1)[:, :20]
+    assert len(got) == len(q) and all(len(v) == 20 for v in got.values())
+    recall = np.mean([len({i for i, _ in got[int(k)]} & set(w.tolist())) / 20 for k, w in zip(q, want)])
+    assert recall >= 0.9, recall
+
+
 def test_copies_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (300, 8)).astype(np.float32).astype(float)
