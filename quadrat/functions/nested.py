@@ -65,7 +65,11 @@ def last_object(c: Column) -> Column:
 
 
 def close_json(text: str) -> tuple[str | None, bool]:
-    """A complete JSON text, closing strings and brackets that a cut left open; whether it was repaired."""
+    """The first JSON value of a text that may be cut, and whether it was repaired.
+
+    A cut value ends behind the last object or list that was closed inside it, and what is open there is closed; a text in
+    which none was closed gives nothing. One pass.
+    """
     start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
     if start < 0:
         return None, False
@@ -75,32 +79,24 @@ def close_json(text: str) -> tuple[str | None, bool]:
         return text[:end], False
     except ValueError:
         pass
-    cuts: list[tuple[int, str]] = []
-    stack, quoted, escaped = [], False, False
+    stack, quoted, escaped, last = [], False, False, None
     for i, ch in enumerate(text):
         if quoted:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            elif ch == '"':
-                quoted = False
+            quoted, escaped = escaped or ch != '"', not escaped and ch == "\\"
         elif ch == '"':
             quoted = True
         elif ch in "{[":
             stack.append("}" if ch == "{" else "]")
         elif ch in "}]" and stack:
             stack.pop()
-        if not quoted and ch in '}]",' or not quoted and (ch.isalnum()):
-            cuts.append((i + 1, "".join(reversed(stack))))
-    tries = [(len(text), ('"' if quoted else "") + "".join(reversed(stack)))] + cuts[::-1][:400]
-    for end, tail in tries:
+            last = i + 1, "".join(reversed(stack))
+    if last:
+        whole = text[: last[0]] + last[1]
         try:
-            whole = text[:end].rstrip().rstrip(",") + tail
             json.loads(whole)
             return whole, True
         except ValueError:
-            continue
+            pass
     return None, False
 
 

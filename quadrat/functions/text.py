@@ -106,7 +106,9 @@ def host_list(c: Column) -> Column:
 
 
 def resource_counts(c: Column, name: str = "gpu") -> Column:
-    """map<type, count> of ``gpu:a100:4,gpu:2``; entries without type count as untyped."""
+    """map<type, count> of ``gpu:a100:4,gpu:2``; entries without type count as untyped; entries of one type add up."""
     found = F.regexp_extract_all(c, F.lit(rf"{name}(?::[a-zA-Z][\w.-]*)?[:=]\d+"), F.lit(0))
-    typed = F.transform(found, lambda x: F.struct(F.when(F.regexp_extract(x, rf"{name}:([a-zA-Z][\w.-]*)", 1) == "", "untyped").otherwise(F.regexp_extract(x, rf"{name}:([a-zA-Z][\w.-]*)", 1)).alias("k"), F.regexp_extract(x, r"(\d+)$", 1).cast("int").alias("v")))
-    return F.map_from_entries(F.array_distinct(typed))
+    kind = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, rf"{name}:([a-zA-Z][\w.-]*)", 1), F.lit("")), F.lit("untyped"))
+    size = lambda x: F.regexp_extract(x, r"(\d+)$", 1).cast("int")
+    total = lambda k: F.aggregate(found, F.lit(0), lambda s, x: F.when(kind(x) == k, s + size(x)).otherwise(s))
+    return F.map_from_entries(F.transform(F.array_distinct(F.transform(found, kind)), lambda k: F.struct(k, total(k))))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from quadrat.functions import stats
 from quadrat.functions.columns import hash_bucket
+from quadrat.operators.sampling import sums_before
 
 #: The ordinal scale, lowest first, and the label of abstention: fixed values.
 LABELS = ("MuchLess", "Less", "Same", "More", "MuchMore")
@@ -174,9 +175,8 @@ def rating_level(df: DataFrame, group: str, value: str, a: str, b: str) -> DataF
     """Two groups of ratings: means, Welch t, Mann-Whitney U by average ranks, Cliff delta, Cohen d."""
     two = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     ties = two.groupBy(value).agg(F.count("*").alias("c"), F.count_if(F.col(group) == a).alias("ca"))
-    # ranks over distinct values
-    below = F.sum("c").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
-    u = ties.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("ca")).alias("ranks_a"))
+    # ranks over distinct values, numbered over range partitions
+    u = sums_before(ties, [value], "c", "below").withColumn("rank", F.col("below") + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("ca")).alias("ranks_a"))
     g = lambda x, f, n: f(F.when(F.col(group) == x, F.col(value))).alias(n)
     m = two.agg(*[g(x, f, f"{n}_{k}") for x, k in ((a, "a"), (b, "b")) for f, n in ((F.count, "n"), (F.avg, "mean"), (F.var_samp, "var"))]).join(u, F.lit(True))
     c = F.col

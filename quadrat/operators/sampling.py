@@ -22,21 +22,20 @@ def sample_n(df: DataFrame, n: int, seed: object, *keys: str) -> DataFrame:
 
 
 def even_quotas(available: dict[object, int], k: int) -> dict[object, int]:
-    """Even quotas in key order, the remainder to the first; what a group lacks goes round-robin to those with most room."""
-    names = sorted(available, key=lambda g: (g is not None, str(g)))
-    if not names:
-        return {}
-    # a null stratum takes part in the split but has no rows of its own
-    have = {g: 0 if g is None else available[g] for g in names}
-    share = {g: k // len(names) + (i < k % len(names)) for i, g in enumerate(names)}
-    quota = {g: min(share[g], have[g]) for g in names}
-    missing = sum(share.values()) - sum(quota.values())
-    room = sorted(names, key=lambda g: quota[g] - have[g])
-    for turn in range(4 * len(room)):
-        g = room[turn % len(room)]
-        if missing and quota[g] < have[g]:
-            quota[g], missing = quota[g] + 1, missing - 1
-    return quota
+    """Rows of each stratum by water-filling: all give up to one common level, the highest at which they do not exceed ``k``.
+
+    What is then left of ``k`` goes one each to the first strata by name that have more. Rows without a stratum are not drawn.
+    """
+    sizes = {g: n for g, n in available.items() if g is not None}
+    left, level = min(k, sum(sizes.values())), 0
+    for i, n in enumerate(sorted(sizes.values())):
+        # the strata from here on are all at least n large
+        step = min(n - level, left // (len(sizes) - i))
+        level, left = level + step, left - step * (len(sizes) - i)
+        if level < n:
+            break
+    more = set(sorted((g for g, n in sizes.items() if n > level), key=str)[:left])
+    return {g: 0 if g is None else min(n, level) + (g in more) for g, n in available.items()}
 
 
 def proportional_quotas(available: dict[object, int], k: int) -> dict[object, int]:
@@ -103,12 +102,34 @@ def stride_shards(df: DataFrame, group: str, seq: str, shards: int, out: str = "
 
 def dense_number(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """Numbers rows from 0 in a total order without pulling all rows into one task."""
+    return sums_before(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", out).drop("_one")
+
+
+def sums_before(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each in a total order: sums inside range partitions and one offset a partition."""
     ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    inside = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    w = W.partitionBy("_p").orderBy(*order)
+    inside = ranged.withColumn("_k", F.sum(value).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     # one row a partition
     sizes = inside.groupBy("_p").agg(F.max("_k").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return inside.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.col("_k") - 1).drop("_p", "_k", "_before")
+    return inside.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.col("_k") - F.col(value)).drop("_p", "_k", "_before")
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
+    """Interpolated quantiles of the non-null values; empty without any. Values are counted and numbered over range partitions."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    numbered = sums_before(counts, ["v"], "c", "first")
+    n = counts.agg(F.sum("c")).first()[0]
+    if not n:
+        return []
+    places = [s * (n - 1) for s in shares]
+    need = sorted({int(p) for p in places} | {min(n - 1, int(p) + 1) for p in places})
+    # two values a share
+    at = F.array(*[F.lit(int(p)) for p in need])
+    rows = numbered.select("v", F.explode(F.filter(at, lambda p: (p >= F.col("first")) & (p < F.col("first") + F.col("c")))).alias("p")).collect()
+    value = {r["p"]: r["v"] for r in rows}
+    return [value[int(p)] + (p - int(p)) * (value[min(n - 1, int(p) + 1)] - value[int(p)]) for p in places]
 
 
 def weighted_one(df: DataFrame, by: Sequence[str], weight: str, seed: object, key: str) -> DataFrame:
@@ -121,25 +142,37 @@ def weighted_one(df: DataFrame, by: Sequence[str], weight: str, seed: object, ke
     return df.withColumn("_d", draw).groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct("_d", key)).alias("_r")).select(*by, "_r.*")
 
 
+def pair_of(number: Column) -> tuple[Column, Column]:
+    """(low, high) of the pair with this number, where pairs are numbered by their high member, then the low."""
+    high = F.floor((1 + F.sqrt(1 + 8 * number.cast("double"))) / 2).cast("long")
+    whole = lambda h: F.shiftright(h * (h - 1), 1)
+    # the root may be one off for large numbers
+    high = F.when(whole(high) > number, high - 1).when(whole(high + 1) <= number, high + 1).otherwise(high)
+    return number - whole(high), high
+
+
 def distinct_pairs(ids: DataFrame, key: str, n: int, seed: object) -> DataFrame:
-    """``n`` distinct unordered pairs (a, b), in hash order; the sides of a pair are flipped by a hash.
+    """``n`` distinct unordered pairs (a, b), or all if there are fewer; the sides of a pair are flipped by a hash.
 
-    Few ids: all pairs are ranked. Many: candidates are drawn by hash from numbered ids, so work follows ``n``.
+    Pairs have numbers; these are drawn by hash until ``n`` different ones are there (or all are listed, where
+    ``n`` is half of them or more), then turned into ids. Work follows ``n`` and the ids, never their square.
     """
-    m = ids.select(key).distinct().count()
+    spark = ids.sparkSession
+    rows = dense_number(ids.select(key).distinct(), [key], "_i")
+    m = rows.count()
     total = m * (m - 1) // 2
-    if total <= 10_000_000:
-        a, b = ids.select(F.col(key).alias("a")).distinct(), ids.select(F.col(key).alias("b")).distinct()
-        pairs = a.join(b, F.col("a") < F.col("b"))
+    if 2 * n >= total:
+        numbers = spark.range(total).select(F.col("id").alias("p"))
     else:
-        rows = dense_number(ids.select(key).distinct(), [key], "_i")
-        draws = ids.sparkSession.range(int(n * 1.2) + 1000).select(F.pmod(F.xxhash64(F.lit(f"{seed}x"), "id"), F.lit(m)).alias("x"), F.pmod(F.xxhash64(F.lit(f"{seed}y"), "id"), F.lit(m)).alias("y"))
-        draws = draws.where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        named = draws.join(rows.select(F.col("_i").alias("x"), F.col(key).alias("_a")), "x").join(rows.select(F.col("_i").alias("y"), F.col(key).alias("_b")), "y")
-        pairs = named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-    top = pairs.orderBy(F.xxhash64(F.lit(str(seed)), "a", "b"), "a", "b").limit(n)
-    flip = hash_unit(f"{seed}flip", F.col("a"), F.col("b")) < 0.5
-    return top.select(F.when(flip, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("b"))
+        draws = int(1.6 * n) + 100
+        draw = lambda k: spark.range(k).select(F.pmod(F.xxhash64(F.lit(str(seed)), "id"), F.lit(total)).alias("p")).distinct()
+        while (numbers := draw(draws)).count() < n:
+            draws *= 2
+    top = numbers.orderBy(F.xxhash64(F.lit(str(seed)), "p"), "p").limit(n)
+    low, high = pair_of(F.col("p"))
+    flip = hash_unit(f"{seed}flip", F.col("p")) < 0.5
+    named = top.select("p", low.alias("x"), high.alias("y")).join(rows.select(F.col("_i").alias("x"), F.col(key).alias("_a")), "x").join(rows.select(F.col("_i").alias("y"), F.col(key).alias("_b")), "y")
+    return named.select(F.when(flip, F.col("_b")).otherwise(F.col("_a")).alias("a"), F.when(flip, F.col("_a")).otherwise(F.col("_b")).alias("b"))
 
 
 def perfect_matching(ids: DataFrame, key: str, seed: object) -> DataFrame:
@@ -168,15 +201,26 @@ def pair_table(pairs: DataFrame, repeats: int = 1, counterbalance: str = "balanc
 
 
 def unit_pairs(images: DataFrame, unit: str, image: str, weight: str, n: int, seed: object) -> DataFrame:
-    """Distinct unit pairs, then one weighted image a side: unit_a, unit_b, image_a, image_b."""
-    pairs = distinct_pairs(images.where(F.col(unit).isNotNull()).select(unit).distinct(), unit, n, seed)
-    out = pairs
+    """Distinct unit pairs, then one weighted image a side: unit_a, unit_b, image_a, image_b.
+
+    A unit's images lie one behind the other on a line as long as its weights (uniform where all are 0); a pair's side draws a
+    place on it and takes the image there, so a unit's images are read once, not once a pair.
+    """
+    have = images.where(F.col(unit).isNotNull()).select(F.col(unit).alias("_u"), F.col(image).alias("_img"), F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("_w"))
+    sums = have.groupBy("_u").agg(F.sum("_w").alias("_s"), F.count("*").alias("_n")).select("_u", (F.col("_s") > 0).alias("_weighted"), F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.col("_n").cast("double")).alias("_len"))
+    line = have.join(sums, "_u").withColumn("_w", F.when(F.col("_weighted"), F.col("_w")).otherwise(1.0)).where("_w > 0")
+    start = F.sum("_w").over(W.partitionBy("_u").orderBy("_img").rowsBetween(W.unboundedPreceding, -1))
+    starts = line.select("_u", F.coalesce(start, F.lit(0.0)).alias("_at"), "_img", F.lit(None).cast("string").alias("_pair"))
+    out = distinct_pairs(have.select(F.col("_u").alias(unit)).distinct(), unit, n, seed).withColumn("_pair", F.concat_ws("__", F.col("a").cast("string"), F.col("b").cast("string")))
+    picked = out
     for side in ("a", "b"):
-        options = out.select("a", "b").join(images.select(F.col(unit).alias(side), F.col(image).alias("_img"), F.col(weight).alias("_w")), side)
-        options = options.withColumn("_key", F.xxhash64(F.lit(side), "a", "b", "_img"))
-        picked = weighted_one(options, ["a", "b"], "_w", f"{seed}{side}", "_key").select("a", "b", F.col("_img").alias(f"image_{side}"))
-        out = out.join(picked, ["a", "b"])
-    return out.select(F.col("a").alias("unit_a"), F.col("b").alias("unit_b"), "image_a", "image_b")
+        place = hash_unit(f"{seed}{side}", F.col("_pair")) * F.col("_len")
+        draws = out.select(F.col(side).alias("_u"), "_pair").join(sums, "_u").select("_u", place.alias("_at"), F.lit(None).cast(have.schema["_img"].dataType).alias("_img"), "_pair")
+        # at one place the image that begins there comes first
+        order = W.partitionBy("_u").orderBy("_at", F.col("_pair").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+        hit = starts.unionByName(draws).withColumn("_hit", F.last("_img", ignorenulls=True).over(order)).where("_pair is not null")
+        picked = picked.join(hit.select("_pair", F.col("_hit").alias(f"image_{side}")), "_pair")
+    return picked.select(F.col("a").alias("unit_a"), F.col("b").alias("unit_b"), "image_a", "image_b")
 
 
 def grid_seeds(nodes: DataFrame, key: str, row: Column, col: Column, k: int, seed: object) -> DataFrame:

@@ -13,8 +13,8 @@ from quadrat.operators.sampling import dense_number, hash_order
 
 
 def write_partitioned(df: DataFrame, root: str, by: Sequence[str] = ("dataset", "year")) -> None:
-    """Overwrites the partitions that the rows belong to and no others; rows are dealt by partition first, so files are few."""
-    df.repartition(*by).sortWithinPartitions(*by).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(root)
+    """Overwrites the partitions that the rows belong to and no others; rows are dealt by partition first, so files are few; AQE splits large ones."""
+    df.hint("rebalance", *by).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(root)
 
 
 def write_once(df: DataFrame, path: str) -> DataFrame:

@@ -50,6 +50,8 @@ def test_validated_joins_raise(spark):
 def test_quotas():
     assert sampling.even_quotas({"a": 1, "b": 10, "c": 10}, 9) == {"a": 1, "b": 4, "c": 4}
     assert sampling.even_quotas({None: 5, "a": 10}, 6)[None] == 0
+    assert sampling.even_quotas({"a": 1000, "b": 1}, 100) == {"a": 99, "b": 1} and sampling.even_quotas({"a": 3, "b": 9, "c": 9}, 14) == {"a": 3, "b": 6, "c": 5}
+    assert sampling.even_quotas({}, 3) == {} and sampling.even_quotas({"a": 2, "b": 1}, 50) == {"a": 2, "b": 1}
     assert sum(sampling.proportional_quotas({"a": 50, "b": 30, "c": 20}, 7).values()) == 7
 
 
@@ -71,6 +73,12 @@ def test_pairs(spark):
     p = sampling.distinct_pairs(spark.range(60), "id", 300, 5)
     got = {frozenset((r.a, r.b)) for r in p.collect()}
     assert len(got) == 300 and all(len(x) == 2 for x in got)
+    assert sampling.distinct_pairs(spark.range(5), "id", 99, 1).distinct().count() == 10 and sampling.distinct_pairs(spark.range(1), "id", 9, 1).count() == 0
+    many = sampling.distinct_pairs(spark.range(100_000).select((F.col("id") * 3).alias("id")), "id", 5000, 2)
+    assert many.select(F.least("a", "b"), F.greatest("a", "b")).where("a != b and a % 3 = 0 and b % 3 = 0").distinct().count() == 5000
+    low, high = sampling.pair_of(F.col("p"))
+    numbered = spark.createDataFrame([(p,) for p in (0, 1, 2, 3, 5, 10**15, 4 * 10**17, 4 * 10**17 + 1)], "p long").select("p", low.alias("x"), high.alias("y")).collect()
+    assert all(0 <= r.x < r.y and r.y * (r.y - 1) // 2 + r.x == r.p for r in numbered)
     t = sampling.pair_table(p, 2, "balanced")
     assert t.count() == 600 and t.where("is_swapped").count() == 300
     m = sampling.perfect_matching(spark.range(21), "id", 3).collect()
@@ -141,12 +149,11 @@ def test_quotes_json_and_text(spark):
     df = spark.createDataFrame([("The  quick\nbrown fox", "quick brown"), ("abc (d) e", "(d)"), ("abc", "zzz"), ("abc", "")], "t string, q string")
     got = [tuple(r[0]) for r in df.coalesce(1).select(text.locate_quote(F.col("t"), F.col("q"))).collect()]
     assert got == [(5, 16, "whitespace"), (4, 7, "exact"), (None, None, "none"), (None, None, "none")]
-    for cut in ('{"a": [1, 2', '{"a": "x', '{"a": {"b": 1}, "c": [{"d": "e"', 'noise {"a": 1} tail'):
-        fixed, _ = nested.close_json(cut)
-        assert isinstance(json.loads(fixed), dict)
+    for cut, want in (('{"a": [1, 2', None), ('{"a": "x', None), ('{"a": {"b": 1}, "c": [{"d": "e"', '{"a": {"b": 1}}'), ('{"a": [1, {"b": "}"}, 2', '{"a": [1, {"b": "}"}]}'), ('noise {"a": 1} tail', '{"a": 1}')):
+        assert nested.close_json(cut)[0] == want
     assert nested.close_json("no json") == (None, False)
-    f = nested.repaired_json(spark.createDataFrame([('{"a": [1',), ('{"a": 1}',), (None,)], "s string"), "s").collect()
-    assert [r.json_repaired for r in f] == [True, False, False] and f[0].json == '{"a": [1]}'
+    f = nested.repaired_json(spark.createDataFrame([('{"a": [[1], 2',), ('{"a": 1}',), (None,)], "s string"), "s").collect()
+    assert [r.json_repaired for r in f] == [True, False, False] and f[0].json == '{"a": [[1]]}'
     names = spark.createDataFrame([("Cleanliness of the platform",), ("platform cleanliness",)], "n string").select(text.word_set_key(F.col("n"))).distinct()
     assert names.count() == 1
     hosts = one(spark.createDataFrame([("n[01-03,07],m5",)], "h string").select(text.host_list(F.col("h"))))[0]
