@@ -112,8 +112,8 @@ def sums_before(df: DataFrame, order: Sequence[str], value: str, out: str) -> Da
     inside = ranged.withColumn("_k", F.sum(value).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     # one row a partition
     sizes = inside.groupBy("_p").agg(F.max("_k").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return inside.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.col("_k") - F.col(value)).drop("_p", "_k", "_before")
+    before = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_offset")
+    return inside.join(F.broadcast(before), "_p").withColumn(out, F.col("_offset") + F.col("_k") - F.col(value)).drop("_p", "_k", "_offset")
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:

@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from quadrat import queries_analysis, queries_curation  # noqa: F401  they register their own
 from quadrat.functions import boxes, columns, geo, nested, text
 from quadrat.operators import graph, judgments, models, reports, rows, sampling, spans, spatial, timeline, vectors
 from quadrat.plans import validation
+from quadrat.registry import ORACLE_SQL, QUERIES, query, rnd, t  # noqa: F401
 from quadrat.streaming import events as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rnd(c, n: int = 6):
-    return F.round(c, n)
-
 
 @query("""
 WITH g AS (SELECT user_id, event_type, count(*) AS n_events, round(avg(value), 6) AS mean_value, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS n_high, min(ts) AS first_ts FROM events GROUP BY ALL),
@@ -322,14 +299,14 @@ def q_stride_shard(spark, d):
     return sampling.stride_shards(t(spark, d, "orders"), "o_custkey", "o_orderkey", 7).select("o_orderkey", "shard")
 
 
-@query("WITH w AS (SELECT source, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'its', 'their', 'this', 'that', 'both'))) AS word FROM (SELECT source, regexp_replace(lower(text), '<[^>]*>|[*_`#]+', ' ', 'g') AS text FROM documents WHERE lang = 'en')) SELECT source, word, count(*) AS n FROM w GROUP BY ALL")
+@query("WITH w AS (SELECT source, unnest(regexp_extract_all(regexp_replace(lower(text), '<[^>]*>|[*_`#]+', ' ', 'g'), '[a-z]{3,}')) AS word FROM documents) SELECT source, word, count(*) AS n FROM w WHERE word NOT IN ('the', 'and', 'for', 'with', 'its', 'their', 'this', 'that', 'both') GROUP BY ALL")
 def q_token_counts(spark, d):
-    return spans.word_counts(t(spark, d, "documents").where("lang = 'en'"), "text", ["source"])
+    return spans.word_counts(t(spark, d, "documents"), "text", ["source"])
 
 
 @query("""
-WITH w AS (SELECT lang, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'its', 'their', 'this', 'that', 'both'))) AS word FROM (SELECT lang, regexp_replace(lower(text), '<[^>]*>|[*_`#]+', ' ', 'g') AS text FROM documents)),
-c AS (SELECT word, count(*) FILTER (WHERE lang = 'de')::DOUBLE AS tt, count(*)::DOUBLE AS p FROM w GROUP BY word HAVING count(*) >= 5), s AS (SELECT sum(tt) AS nt, sum(p) AS np FROM c),
+WITH w AS (SELECT lang, unnest(regexp_extract_all(regexp_replace(lower(text), '<[^>]*>|[*_`#]+', ' ', 'g'), '[a-z]{3,}')) AS word FROM documents),
+c AS (SELECT word, count(*) FILTER (WHERE lang = 'de')::DOUBLE AS tt, count(*)::DOUBLE AS p FROM w WHERE word NOT IN ('the', 'and', 'for', 'with', 'its', 'their', 'this', 'that', 'both') GROUP BY word HAVING count(*) >= 5), s AS (SELECT sum(tt) AS nt, sum(p) AS np FROM c),
 z AS (SELECT word, tt, p - tt AS b, tt + 500 * p / np AS yt, p - tt + 500 * p / np AS yb, nt, np FROM c, s)
 SELECT word, tt::BIGINT AS n_target, b::BIGINT AS n_other, round((ln(yt / (nt + 500 - yt)) - ln(yb / (np - nt + 500 - yb))) / sqrt(1 / yt + 1 / yb), 4) AS z FROM z""")
 def q_tokens_logodds(spark, d):
@@ -358,9 +335,15 @@ def q_sentence_windows(spark, d):
 
 @query("SELECT item_id, doc_id, (strpos(d.text, b.text) - 1)::INTEGER AS start, (strpos(d.text, b.text) - 1 + length(b.text))::INTEGER AS \"end\" FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0")
 def q_quote_locate(spark, d):
-    # benchmark items are few and of bounded size, so they are broadcast to the documents
-    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    j = t(spark, d, "documents").select("doc_id", "text").join(F.broadcast(b), F.contains(F.col("text"), F.col("quote")))
+    # a quote's second to fourth words stand whole in every text that holds it, so texts and quotes meet by these three
+    w = F.split("quote", " ")
+    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")).withColumn("anchor", F.when(F.size(w) >= 5, F.array_join(F.slice(w, 2, 3), " ")))
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    places = docs.select("doc_id", F.explode(F.array_distinct(text.ngrams(F.split("text", " "), 3))).alias("anchor"))
+    met = places.join(b.where("anchor is not null"), "anchor").select("doc_id", "item_id", "quote")
+    # quotes too short for that are compared with every text
+    short = docs.join(b.where("anchor is null and quote != ''").drop("anchor"), F.contains("text", "quote"))
+    j = docs.join(met, "doc_id").unionByName(short, allowMissingColumns=True).where(F.contains("text", "quote"))
     return j.withColumn("q", text.locate_quote(F.col("text"), F.col("quote"))).where("q.method = 'exact'").select("item_id", "doc_id", F.col("q.start").alias("start"), F.col("q.end").alias("end"))
 
 
@@ -378,7 +361,7 @@ def q_rates_with_denominator(spark, d):
     return r.select("user_id", "n_docs", rnd("click").alias("click"), rnd("purchase").alias("purchase"))
 
 
-CUES = "SELECT user_id AS pair_id, event_type AS cue, CASE WHEN event_id % 3 = 0 THEN 'A' ELSE 'B' END AS image, CASE WHEN user_id % 2 = 0 THEN 'More' WHEN user_id % 3 = 0 THEN 'Same' ELSE 'Less' END AS label FROM events WHERE value > 80"
+CUES = "SELECT user_id AS pair_id, event_type AS cue, CASE WHEN event_id % 3 = 0 THEN 'A' ELSE 'B' END AS image, CASE WHEN user_id % 2 = 0 THEN 'More' WHEN user_id % 3 = 0 THEN 'Same' ELSE 'Less' END AS label FROM events"
 
 
 @query(f"""
@@ -386,8 +369,7 @@ WITH v AS (SELECT pair_id, cue, min(image) AS im, min(label) AS label FROM ({CUE
 c AS (SELECT cue, count(*) AS n_mentions, count(*) FILTER (WHERE label <> 'Same') AS n, count(*) FILTER (WHERE (im = 'A' AND label = 'More') OR (im = 'B' AND label = 'Less')) AS wins FROM v GROUP BY cue HAVING count(*) FILTER (WHERE label <> 'Same') >= 1), b AS (SELECT sum(wins) / sum(n) AS base FROM c)
 SELECT cue, n_mentions, n, wins, round(wins / n, 6) AS win_rate, round((wins + 25 * base) / (n + 25), 6) AS shrunk_rate FROM c, b""")
 def q_win_rates(spark, d):
-    e = t(spark, d, "events").where("value > 80")
-    x = e.select(F.col("user_id").alias("pair_id"), F.col("event_type").alias("cue"), F.when(F.col("event_id") % 3 == 0, "A").otherwise("B").alias("image"), F.when(F.col("user_id") % 2 == 0, "More").when(F.col("user_id") % 3 == 0, "Same").otherwise("Less").alias("presented_label"))
+    x = t(spark, d, "events").select(F.col("user_id").alias("pair_id"), F.col("event_type").alias("cue"), F.when(F.col("event_id") % 3 == 0, "A").otherwise("B").alias("image"), F.when(F.col("user_id") % 2 == 0, "More").when(F.col("user_id") % 3 == 0, "Same").otherwise("Less").alias("presented_label"))
     return spans.win_rates(x, least=1).select("cue", "n_mentions", "n", "wins", rnd("win_rate").alias("win_rate"), rnd("shrunk_rate").alias("shrunk_rate"))
 
 
@@ -463,13 +445,14 @@ def q_rating_fold(spark, d):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 97 AS a, (c_nationkey * 4 + 100) AS b FROM customer WHERE c_custkey % 11 = 0 AND c_custkey < 400), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.node)
+WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey - c_custkey % 10 + (c_custkey * 7) % 10 AS b FROM customer), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.node)
 SELECT node, min(c) AS component FROM r GROUP BY node""")
 def q_components(spark, d):
     from quadrat.sources.storage import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    e = t(spark, d, "customer").where("c_custkey % 11 = 0 and c_custkey < 400").select((F.col("c_custkey") % 97).alias("src"), (F.col("c_nationkey") * 4 + 100).cast("long").alias("dst"))
+    k = F.col("c_custkey")
+    e = t(spark, d, "customer").select(k.alias("src"), (k - k % 10 + (k * 7) % 10).alias("dst"))
     return graph.connected_components(e)
 
 
@@ -558,7 +541,7 @@ def q_code_ladder(spark, d):
     """Complexity codes of synthetic traces: every conversation turn is an ingredient."""
     kinds = F.array(*map(F.lit, spans.KINDS))
     c = t(spark, d, "conversations")
-    r = c.select(F.lit("demo").alias("case"), F.lit("m").alias("judge_model"), F.col("conv_id").alias("doc_id"), F.get(kinds, F.pmod(F.xxhash64("text"), F.lit(7)).cast("int")).alias("ingredient_type"), F.col("turn").cast("int").alias("ingredient_index"), F.substring("text", 1, 40).alias("name"), F.lit(True).alias("quote_found"), F.lit(False).alias("answer_truncated"), F.col("turn").cast("int").alias("char_start"),
+    r = c.select(F.lit("demo").alias("case"), F.lit("m").alias("judge_model"), F.col("conv_id").alias("doc_id"), F.get(kinds, F.pmod(F.xxhash64("text"), F.lit(7)).cast("int")).alias("ingredient_type"), F.col("turn").cast("int").alias("ingredient_index"), F.col("text").alias("name"), F.lit(True).alias("quote_found"), F.lit(False).alias("answer_truncated"), F.col("turn").cast("int").alias("char_start"),
                  F.to_json(F.struct(F.when(F.col("turn") % 2 == 0, "A").otherwise("B").alias("image"), F.col("role").alias("label"), F.array(F.struct(F.lit("exact").alias("method"))).alias("justification_quotes"))).alias("attrs_json"))
     return spans.trace_codes(r).select("doc_id", "n_ingredients", "differentiated", "integrated", "verdict_labels", "ic_code")
 
