@@ -65,6 +65,55 @@ def local_xy(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column
     return (lon - lon0) * M_PER_DEGREE * math.cos(math.radians(lat0)), (lat - lat0) * M_PER_DEGREE
 
 
+#: GRS 80: semi-major axis in metres and flattening; US survey foot in metres.
+AXIS, FLAT, SURVEY_FOOT = 6378137.0, 1 / 298.257222101, 1200 / 3937
+
+
+def krueger() -> tuple[float, list[float]]:
+    """Rectifying radius and the series of the transverse Mercator projection, to the fourth order of the third flattening."""
+    n = FLAT / (2 - FLAT)
+    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    return radius, [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+
+
+def utm_xy(lat: Column, lon: Column, zone: int = 18) -> tuple[Column, Column]:
+    """Easting and northing in metres of a UTM zone, northern half; within millimetres inside the zone."""
+    n = FLAT / (2 - FLAT)
+    e = 2 * math.sqrt(n) / (1 + n)
+    radius, series = krueger()
+    d, s = F.radians(lon - (6 * zone - 183)), F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+    east = eta + sum((a * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, a in enumerate(series)), F.lit(0.0))
+    north = xi + sum((a * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, a in enumerate(series)), F.lit(0.0))
+    return 500_000 + 0.9996 * radius * east, 0.9996 * radius * north
+
+
+def conic(parallels: tuple[float, float], origin: float) -> tuple[float, float, float, float]:
+    """(eccentricity, cone constant, scale of radii, radius at the origin) of a conformal conic with two standard parallels, in degrees."""
+    e = math.sqrt(2 * FLAT - FLAT**2)
+    m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    a, b, o = (math.radians(x) for x in (*parallels, origin))
+    n = (math.log(m(a)) - math.log(m(b))) / (math.log(t(a)) - math.log(t(b)))
+    scale = AXIS * m(a) / (n * t(a) ** n)
+    return e, n, scale, scale * t(o) ** n
+
+
+#: The Long Island zone of the New York state plane: standard parallels, origin, false easting in metres: fixed values.
+LONG_ISLAND = ((41 + 2 / 60, 40 + 40 / 60), 40 + 10 / 60, -74.0, 300_000.0)
+
+
+def state_plane_ft(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Easting and northing in US survey feet of the Long Island zone."""
+    parallels, origin, centre, east = LONG_ISLAND
+    e, n, scale, at_origin = conic(parallels, origin)
+    s = F.sin(F.radians(lat))
+    t = F.tan(math.pi / 4 - F.radians(lat) / 2) / F.pow((1 - e * s) / (1 + e * s), F.lit(e / 2))
+    rho, theta = scale * F.pow(t, F.lit(n)), n * F.radians(lon - centre)
+    return (east + rho * F.sin(theta)) / SURVEY_FOOT, (at_origin - rho * F.cos(theta)) / SURVEY_FOOT
+
+
 def ring_area(ring: Column) -> Column:
     """Signed shoelace area of an array of struct(x, y)."""
     n = F.size(ring)

@@ -220,6 +220,25 @@ def q_geometry_cascade(spark, d):
     return spatial.geometry_cascade(u, b, "c_custkey", "bin", "ring", 100.0, 60.0).select("c_custkey", "geom_source", "matched_bin", rnd("match_dist").alias("match_dist"))
 
 
+RADIUS, SERIES = geo.krueger()
+E_, N_, SCALE, AT_ORIGIN = geo.conic(*geo.LONG_ISLAND[:2])
+THIRD = geo.FLAT / (2 - geo.FLAT)
+ECC = 2 * THIRD**0.5 / (1 + THIRD)
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, 40.5 + c_acctbal / 20000 AS la, -74.2 + c_nationkey / 50.0::DOUBLE AS lo FROM customer), d AS (SELECT c_custkey, la, lo, radians(lo + 75) AS d, sin(radians(la)) AS s FROM c),
+k AS (SELECT *, sinh(atanh(s) - {ECC!r}::DOUBLE * atanh({ECC!r}::DOUBLE * s)) AS t FROM d), x AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM k),
+p AS (SELECT *, {SCALE!r}::DOUBLE * power(tan(pi() / 4 - radians(la) / 2) / power((1 - {E_!r}::DOUBLE * s) / (1 + {E_!r}::DOUBLE * s), {E_ / 2!r}::DOUBLE), {N_!r}::DOUBLE) AS rho, {N_!r}::DOUBLE * radians(lo + 74) AS th FROM x)
+SELECT c_custkey, round(500000 + 0.9996::DOUBLE * {RADIUS!r}::DOUBLE * (eta + {' + '.join(f'{a!r}::DOUBLE * cos({2 * j + 2} * xi) * sinh({2 * j + 2} * eta)' for j, a in enumerate(SERIES))}), 3) AS utm_x,
+ round(0.9996::DOUBLE * {RADIUS!r}::DOUBLE * (xi + {' + '.join(f'{a!r}::DOUBLE * sin({2 * j + 2} * xi) * cosh({2 * j + 2} * eta)' for j, a in enumerate(SERIES))}), 3) AS utm_y,
+ round((300000 + rho * sin(th)) / (1200.0::DOUBLE / 3937), 3) AS plane_x, round(({AT_ORIGIN!r}::DOUBLE - rho * cos(th)) / (1200.0::DOUBLE / 3937), 3) AS plane_y FROM p""")
+def q_projections(spark, d):
+    la, lo = 40.5 + F.col("c_acctbal") / 20000, -74.2 + F.col("c_nationkey") / 50.0
+    (ux, uy), (px, py) = geo.utm_xy(la, lo), geo.state_plane_ft(la, lo)
+    return t(spark, d, "customer").select("c_custkey", *[rnd(c, 3).alias(n) for c, n in ((ux, "utm_x"), (uy, "utm_y"), (px, "plane_x"), (py, "plane_y"))])
+
+
 RAYS = """
 WITH c AS (SELECT c_custkey, c_nationkey % 2 AS own, round(c_acctbal / 20, 1) + 0.03 AS x, (c_custkey % 100) * 5.0 + 0.01 AS y, CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 90 WHEN 2 THEN 180 WHEN 3 THEN 270 END AS b FROM customer),
 p AS (SELECT c.*, s, x + CASE b WHEN 90 THEN s WHEN 270 THEN -s ELSE 0 END * 3.0 AS px, y + CASE b WHEN 0 THEN s WHEN 180 THEN -s ELSE 0 END * 3.0 AS py FROM c, range(1, 11) r(s) WHERE b IS NOT NULL), z AS (SELECT s_suppkey % 2 AS k, s_acctbal / 20 AS zx, s_suppkey * 5.0 AS zy FROM supplier)"""

@@ -137,6 +137,19 @@ def test_geometry_cascade(spark):
     assert got == {"a": ("bin", "1", 0.0), "b": ("nearest", "1", 5.0), "c": ("point", None, None), "d": ("none", None, None)}
 
 
+def test_projections_at_known_places(spark):
+    """Origins by definition, metres a degree on the central meridian, and published coordinates of a landmark."""
+    one = lambda la, lo: spark.createDataFrame([(la, lo)], "a double, o double").select(*geo.utm_xy(F.col("a"), F.col("o")), *geo.state_plane_ft(F.col("a"), F.col("o"))).first()
+    x, y, _, _ = one(0.0, -75.0)
+    assert abs(x - 500_000) < 1e-6 and abs(y) < 1e-6
+    _, _, x, y = one(40 + 10 / 60, -74.0)
+    assert abs(x - 984_250) < 1e-3 and abs(y) < 1e-3
+    x, y, px, py = one(40.748441, -73.985664)
+    assert abs(x - 585_628) < 30 and abs(y - 4_511_323) < 30 and abs(px - 988_220) < 60 and abs(py - 211_950) < 100
+    # the meridian's length from the equator to 45 degrees on this ellipsoid
+    assert abs(one(45.0, -75.0)[1] / 0.9996 - 4_984_944.378) < 0.01
+
+
 def test_wkb_point_is_exact(spark):
     import struct
 
