@@ -31,6 +31,9 @@ DICTIONARY_MAGIC = 0x184D2A5D
 FILLER = "P*M\x18\0\0\0\0"
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 1 << 16, 1 << 16
 LEVEL = 6
+FEED = 1 << 14
+#: Records in a file: binaryFile reads files of 2 GB at most, and one task reads a file.
+FILE_RECORDS = 4096
 
 
 def record_bytes(page_id, url: str | None, payload: bytes, n: int, digest: str, refers_to) -> bytes:
@@ -80,10 +83,10 @@ def dictionary_frame(dictionary: bytes) -> bytes:
 
 
 def read_archive(data: bytes) -> Iterator[bytes]:
-    """The records of one file, found frame by frame."""
+    """The records of one file, found frame by frame; each frame is fed to its reader by ``FEED`` bytes, so what lies behind it is not copied."""
     import zstandard
 
-    at, reader = 0, zstandard.ZstdDecompressor()
+    view, at, reader = memoryview(data), 0, zstandard.ZstdDecompressor()
     while at < len(data):
         magic, n = struct.unpack_from("<II", data, at) if at + 8 <= len(data) else (0, 0)
         if magic & 0xFFFFFFF0 == 0x184D2A50:
@@ -91,10 +94,14 @@ def read_archive(data: bytes) -> Iterator[bytes]:
                 reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[at + 8 : at + 8 + n]))
             at += 8 + n
             continue
-        one = reader.decompressobj()
-        out = one.decompress(memoryview(data)[at:])
-        at = len(data) - len(one.unused_data)
-        yield out
+        one, parts = reader.decompressobj(), []
+        while not one.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends inside a record")
+            parts.append(one.decompress(view[at : at + FEED]))
+            at += min(FEED, len(data) - at)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def plan_records(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
@@ -110,9 +117,15 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, sample_records: int = SAMPLE_RECORDS) -> None:
-    """Write ``pages`` (page_id, url, html) below ``path``, one archive a task."""
-    sample = pages.select("page_id", "url", "html").limit(sample_records).collect()
-    cut = lambda r: record_bytes(r[0], r[1], (b := (r[2] or "").encode()), len(b), hashlib.sha1(b).hexdigest(), None)[:SAMPLE_BYTES]
+    """Write ``pages`` (page_id, url, html) below ``path``: archives of ``FILE_RECORDS`` records at most, each with the dictionary.
+
+    The dictionary is built from records chosen by hash, cut in the plan, so no long text reaches the driver.
+    """
+    n = pages.select("page_id").count()
+    near = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < F.lit(int(min(1.0, 4 * sample_records / max(1, n)) * (1 << 30)))
+    head = F.substring(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 1, SAMPLE_BYTES)
+    sample = pages.where(near).select("page_id", "url", head.alias("head")).orderBy(F.xxhash64("page_id", "url"), "page_id").limit(sample_records).collect()
+    cut = lambda r: record_bytes(r[0], r[1], bytes(r[2]), len(r[2]), hashlib.sha1(r[2]).hexdigest(), None)
     dictionary = train_dictionary([cut(r) for r in sample])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +133,22 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, s
 
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=True)
-        yield pa.RecordBatch.from_arrays([pa.array([dictionary_frame(dictionary)], pa.binary())], names=["frame"])
+        written = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 cols = [c.to_pylist() for c in batch.slice(at, 64).columns]
-                frames = [zip_.compress(record_bytes(*row)) for row in zip(*cols)]
+                frames = []
+                for row in zip(*cols):
+                    if written % FILE_RECORDS == 0:
+                        # the first row of every file, since a file holds FILE_RECORDS records and this
+                        frames.append(dictionary_frame(dictionary))
+                    frames.append(zip_.compress(record_bytes(*row)))
+                    written += 1
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
     frames = plan_records(pages, min_revisit_bytes).mapInArrow(pack, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", FILLER).option("compression", "none").text(path)
+    out = frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", FILLER).option("compression", "none")
+    out.option("maxRecordsPerFile", FILE_RECORDS + 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True, id_type: str = "bigint") -> DataFrame:
