@@ -1,17 +1,18 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Every page is parsed into lines (its blocks of text), each marked as boilerplate (menus, headers,
-footers, sidebars, notices, adverts, forms, comments), as main (inside an article or main element) or as
-open. Pages of a host are sorted by URL path over range partitions, so a large host spreads over many
-tasks, and each page is paired with the neighbour that shares the longer path. Hashes of the two pages' lines are
-aligned by longest common subsequence and shared lines are deleted. Marks then check the result: lines
-marked boilerplate go even where the pages differ, and lines marked main stay even where they agree, so
-an article that two pages carry is not lost. A page that shares all its open lines says nothing about
-them and keeps them.
+Every page is parsed into lines (its blocks of text). Pages of a host are sorted by URL path over range
+partitions, so a large host spreads over many tasks, and each page is paired with the neighbour that shares
+the longer path. Hashes of the two pages' lines, of all of them, are aligned by longest common subsequence
+and shared lines are deleted. Marks then check the result both ways: lines of an article or main element
+come back, so an article that two pages carry is not lost, and lines of boilerplate elements (menus,
+headers, footers, sidebars, notices, adverts, forms, comments) go though the pages differ in them, as menus and adverts that are
+made anew for each page do. Marked paragraphs inside an article, and all lines under no mark, are left to differencing.
+A page that shares all its unmarked lines says nothing about them and keeps them.
 
 Defined cases: null html or html without text gives an empty string; a null url is a page of the empty
 host; rows equal in page_id, url and html are one page with the same result each; copies under other
-ids or URLs are ordinary neighbours; an empty table gives an empty result; extra columns are ignored.
+ids or URLs are ordinary neighbours; an empty table gives an empty result; extra columns are ignored. Malformed html of any length is read in one scan:
+a tag whose quotes run to the end of the page ends at its first ``>``, as do all tags behind it.
 """
 
 from __future__ import annotations
@@ -38,30 +39,41 @@ MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|toolbar"
     r"|cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended"
     r"|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|skip|search|searchbox|legal|copyright|disclaimer|hidden)(?:$|[\s_-])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Of these, what holds no article of the page itself.
+FIRM = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|nav\w*|menu\w*|sidebar|aside|widget|footer|cookies?|consent|popup|modal|related|recommended|comments?|commentlist|disqus|replies|reply|respond)(?:$|[\s_-])", re.I)
+#: Names of a layout that has or lacks a part.
+LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:with|has|no|without)[_-][^\s]*", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+BODY = re.compile(r"<body[\s>]", re.I)
 NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 END_OF = {name: re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I) for name in RAW}
 
-OPEN_, MAIN_, BOILER_ = 0, 1, 2
+#: No mark; article or main; boilerplate; boilerplate that an article may stand in; a marked paragraph of an article.
+OPEN_, MAIN_, BOILER_, SOFT_, ASIDE_ = 0, 1, 2, 3, 4
 
 
-def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
+def boilerplate(name: str, attributes: str, inside_main: bool) -> int:
+    """BOILER_, SOFT_ or ASIDE_ if an element is boilerplate, else OPEN_."""
     if name in BOILERPLATE and not (name == "header" and inside_main):
-        return True
+        return SOFT_ if name in ("form", "fieldset") else BOILER_
     if not attributes or name in ("html", "body"):
-        return False
+        return OPEN_
     for key, *values in NAMED.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return BOILER_
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return BOILER_
         if key == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"):
-            return True
-        if key in ("class", "id") and MARKED.search(value) and not (inside_main and re.search(r"header|head", value, re.I) and name in ("h1", "h2", "h3", "header", "hgroup")):
-            return True
-    return False
+            return BOILER_
+        if key in ("class", "id"):
+            value = LAYOUT.sub("", value)
+            if MARKED.search(value) and not (inside_main and re.search(r"header|head", value, re.I) and name in ("h1", "h2", "h3", "header", "hgroup")):
+                if FIRM.search(value):
+                    return BOILER_
+                return ASIDE_ if inside_main and name == "p" else SOFT_
+    return OPEN_
 
 
 def page_lines(page: str | None) -> tuple[list[str], list[int]]:
@@ -71,7 +83,9 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
     marks: list[int] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}
     mark, at, n = OPEN_, 0, len(page)
+    last, last_data, quotes, in_head = page.rfind(">"), page.rfind("]]>"), True, False
 
     def flush() -> None:
         if text:
@@ -81,6 +95,11 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
                 lines.append(line)
                 marks.append(mark)
 
+    def pop() -> int:
+        name, before = stack.pop()
+        open_[name] -= 1
+        return before
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -88,26 +107,40 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
             break
         if lt > at:
             text.append(page[at:lt])
-        m = TAG.match(page, lt)
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if lt > last:
+            end = page.find("<!--", lt)
+            text.append(page[lt : end if end >= 0 else n])
+            break
+        if page.startswith("<![CDATA[", lt) and last_data > lt:
+            end = page.find("]]>", lt)
+            text.append(page[lt + 9 : end])
+            at = end + 3
+            continue
+        if page[lt + 1] in "!?":
+            at = page.find(">", lt) + 1
+            continue
+        m = TAG.match(page, lt) if quotes else None
         if m is None:
             m = LOOSE.match(page, lt)
+            quotes = quotes and m is None
         if m is None:
             text.append("<")
             at = lt + 1
             continue
         at = m.end()
-        if m.re is TAG and m.group(2) is None:
-            if page.startswith("<![CDATA[", lt):
-                text.append(page[lt + 9 : at - 3])
-            continue
         close, name, attributes = m.group(1), m.group(2).lower(), m.group(3)
-        if name in END_OF and not close and not attributes.endswith("/"):
+        if name in END_OF and not close and not attributes.endswith("/") and not (name == "head" and in_head):
             end = END_OF[name].search(page, at)
             if name != "head":
                 at = end.end() if end else n
                 continue
             # an unclosed head ends at the body
-            body = re.compile(r"<body[\s>]", re.I).search(page, at)
+            in_head = True
+            body = BODY.search(page, at)
             stop = end if end and not (body and body.start() < end.start()) else body
             at = (stop.start() if stop is body and stop else stop.end()) if stop else at
             continue
@@ -118,19 +151,20 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
         if name in VOID:
             continue
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name not in BLOCK and stack[k][1] != mark:
-                        flush()
-                    mark = stack[k][1]
-                    del stack[k:]
-                    break
+            if open_.get(name):
+                while stack[-1][0] != name:
+                    pop()
+                if name not in BLOCK and stack[-1][1] != mark:
+                    flush()
+                mark = pop()
             continue
         if name == "p" and stack and stack[-1][0] == "p":
-            mark = stack.pop()[1]
+            mark = pop()
         stack.append((name, mark))
+        open_[name] = open_.get(name, 0) + 1
         if mark != BOILER_:
-            after = BOILER_ if is_boilerplate(name, attributes, mark == MAIN_) else MAIN_ if name in MAIN else mark
+            said = boilerplate(name, attributes, mark == MAIN_)
+            after = said if said == BOILER_ or said and mark != SOFT_ else MAIN_ if name in MAIN else mark
             if after != mark and name not in BLOCK:
                 flush()
             mark = after
@@ -177,17 +211,17 @@ def shared_positions(a: list[int], b: list[int]) -> set[int]:
 
 
 def deleted_lines(marks: list[int], hashes: list[int], mate: list[int] | None) -> list[int]:
-    """Open lines that differencing deletes; a page that shares them all keeps them."""
+    """Lines that differencing deletes: what both pages share, but for lines of the article; a page that shares all its unmarked lines keeps them."""
     shared = shared_positions(hashes, mate) if mate else set()
-    still = [i for i, m in enumerate(marks) if m == OPEN_]
-    gone = [i for i in still if i in shared]
-    return [] if len(gone) == len(still) else gone
+    unmarked = [i for i, m in enumerate(marks) if m == OPEN_]
+    whole = all(i in shared for i in unmarked)
+    return [i for i in sorted(shared) if marks[i] != MAIN_ and not (whole and marks[i] == OPEN_)]
 
 
 def kept_lines(lines: list[str], marks: list[int], gone: list[int] | None) -> list[str]:
     """What is left of a page after differencing and the check against the marks."""
     out = set(gone or ())
-    return [x for i, (x, m) in enumerate(zip(lines, marks)) if m != BOILER_ and i not in out]
+    return [x for i, (x, m) in enumerate(zip(lines, marks)) if m not in (BOILER_, SOFT_) and i not in out]
 
 
 def row_key() -> Column:
@@ -272,7 +306,7 @@ def mates(keys: DataFrame) -> DataFrame:
 
 
 def deletions(pages: DataFrame) -> DataFrame:
-    """(_k, gone) for the pages that lose open lines to their neighbour; only hashes of lines are moved."""
+    """(_k, gone) for the pages that lose lines to their neighbour; only hashes of lines are moved."""
     keys = staged(page_keys(pages).dropDuplicates(["_k"]), "page-lines")
     pairs = mates(keys.select("host", "path", "_k"))
     other = keys.select(F.col("_k").alias("_m"), F.col("hashes").alias("mate_hashes"))
@@ -289,7 +323,7 @@ def deletions(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text (lines joined by line feeds), n_chars, n_lines, n_deleted."""
+    """page_id, url, text (lines joined by line feeds), n_chars, n_lines, n_deleted, n_shared (of these, deleted by differencing)."""
     id_type = pages.schema["page_id"].dataType.simpleString()
     gone = deletions(pages).select(F.col("_k").alias("_d"), "gone")
     rows = pages.select("page_id", "url", "html", row_key().alias("_k"))
@@ -305,7 +339,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 parsed = [page_lines(x) for x in part.column(2).to_pylist()]
                 kept = [kept_lines(*p, g) for p, g in zip(parsed, part.column(3).to_pylist())]
                 text = ["\n".join(k) for k in kept]
-                cols = [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array([len(p[0]) for p in parsed], pa.int64()), pa.array([len(p[0]) - len(k) for p, k in zip(parsed, kept)], pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["page_id", "url", "text", "n_chars", "n_lines", "n_deleted"])
+                cols = [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array([len(p[0]) for p in parsed], pa.int64()), pa.array([len(p[0]) - len(k) for p, k in zip(parsed, kept)], pa.int64()), pa.array([len(g or ()) for g in part.column(3).to_pylist()], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["page_id", "url", "text", "n_chars", "n_lines", "n_deleted", "n_shared"])
 
-    return joined.mapInArrow(work, f"page_id {id_type}, url string, text string, n_chars long, n_lines long, n_deleted long")
+    return joined.mapInArrow(work, f"page_id {id_type}, url string, text string, n_chars long, n_lines long, n_deleted long, n_shared long")
