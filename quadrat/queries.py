@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadrat import queries_analysis, queries_curation  # noqa: F401  they register their own
+from quadrat import queries_analysis, queries_curation, queries_jobs  # noqa: F401  they register their own
 from quadrat.functions import boxes, columns, geo, nested, text
 from quadrat.operators import graph, judgments, models, reports, rows, sampling, spans, spatial, timeline, vectors
 from quadrat.plans import validation
@@ -423,13 +423,17 @@ def q_pip_grid(spark, d):
     return spatial.closest_polygon(p, z, "c_custkey", "x", "y", "ring", "zone", 500.0, 0.0).withColumn("centroid_dist", rnd("centroid_dist", 4))
 
 
-@query()
+@query("""
+WITH r AS (SELECT c_custkey, c_acctbal / 10 AS x, (c_custkey % 1000)::DOUBLE AS y, radians(((c_custkey * 37) % 360)::DOUBLE) AS b, c_nationkey / 25.0::DOUBLE AS s FROM customer), p AS (SELECT c_custkey, s, floor((y + k / 25.0::DOUBLE * 50 * cos(b)) / 10)::BIGINT AS row, floor((x + k / 25.0::DOUBLE * 50 * sin(b)) / 10)::BIGINT AS col, 1 - k / 25.0::DOUBLE AS w FROM r, range(1, 26) v(k)),
+o AS (SELECT c_custkey, row, col, max(w) AS w, max(s) AS s FROM p GROUP BY ALL) SELECT row, col, round(sum(s * w) / nullif(sum(w), 0), 6) AS value, count(*) AS n FROM o GROUP BY ALL""")
 def q_rays(spark, d):
     c = t(spark, d, "customer").select((F.col("c_acctbal") / 10).alias("x"), (F.col("c_custkey") % 1000).cast("double").alias("y"), ((F.col("c_custkey") * 37) % 360).cast("double").alias("b"), (F.col("c_nationkey") / 25.0).alias("s"))
     return spatial.ray_raster(c, "x", "y", "b", "s", 50.0, 10.0).withColumn("value", rnd("value"))
 
 
-@query()
+@query("""
+WITH j AS (SELECT s_suppkey, c_custkey, c_acctbal AS v, sqrt(power(s_acctbal - c_acctbal, 2) + power((s_nationkey - c_nationkey) * 100.0::DOUBLE, 2)) AS dd FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) <= 150 AND abs(s_nationkey - c_nationkey) <= 1), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY dd, c_custkey) AS k FROM j WHERE dd <= 150)
+SELECT s_suppkey, round(coalesce(avg(v) FILTER (WHERE dd < 1e-9), sum(v / power(greatest(dd, 1e-9), 2)) / sum(1 / power(greatest(dd, 1e-9), 2))), 4) AS value, count(*) AS n FROM r WHERE k <= 8 GROUP BY 1""")
 def q_idw(spark, d):
     p = t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 100.0).alias("y"), F.col("c_acctbal").alias("v"))
     cells = t(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 100.0).alias("y"))
