@@ -9,7 +9,7 @@ from quadrat.operators import batch_map, reports, sampling, timeline, vectors
 from quadrat.plans import dag, normalize, validation
 from quadrat.queries_curation import scratch
 from quadrat.registry import query, rnd, t
-from quadrat.sources import paged, readers, writers
+from quadrat.sources import paged, rasters, readers, writers
 from quadrat.streaming import events as streams
 
 # --- jobs
@@ -295,3 +295,33 @@ def q_pack_segments(spark, d):
     s = t(spark, d, "events").where("event_id % 2 = 0").select("user_id", F.struct((i * 10.0).cast("double").alias("start"), (i * 10.0 + 8).cast("double").alias("end")).alias("x"))
     packed = timeline.pack_segments(F.col("xs"), 30.0, 2.0)
     return s.groupBy("user_id").agg(F.collect_list("x").alias("xs")).select("user_id", F.size(packed).alias("n_windows"), rnd(F.aggregate(packed, F.lit(0.0), lambda a, w: a + w["end"] - w["start"])).alias("covered"))
+
+
+@query("SELECT 'img' || n_nationkey AS name, 'jpg' AS extension, (n_nationkey % 3)::INTEGER AS depth, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' || n_regionkey ELSE 'a' || n_regionkey || '/b' END AS folders FROM nation")
+def q_image_table(spark, d):
+    root = scratch(spark, "images")
+    # 25 images
+    for r in t(spark, d, "nation").select("n_nationkey", "n_regionkey").collect():
+        folders = ["", f"a{r.n_regionkey}/", f"a{r.n_regionkey}/b/"][r.n_nationkey % 3]
+        writers.write_json(spark, f"{root}/{folders}img{r.n_nationkey}.jpg", {})
+    return rasters.image_table(spark, root).select("name", "extension", "depth", F.array_join("folders", "/").alias("folders"))
+
+
+@query("SELECT c_nationkey AS row, c_custkey % 4 AS col, round(avg(c_acctbal)::FLOAT::DOUBLE, 3) AS value FROM customer GROUP BY ALL")
+def q_raster_band(spark, d):
+    """Written as GeoTIFF and read back by its own tags."""
+    import struct
+
+    import numpy as np
+
+    path = f"{scratch(spark, 'band')}.tif"
+    cells = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("row"), (F.col("c_custkey") % 4).alias("col")).agg(F.avg("c_acctbal").alias("value"))
+    rasters.write_band(cells, path, 10.0, 2263, tags={"n": 1})
+    data = bytes(spark.read.format("binaryFile").load(path).first()["content"])
+    (n,) = struct.unpack_from("<H", data, 8)
+    tags = {tag: (count, place) for tag, _, count, place in (struct.unpack_from("<HHII", data, 10 + 12 * i) for i in range(n))}
+    w, h, start = tags[256][1], tags[257][1], tags[273][1]
+    grid = np.frombuffer(data, "<f4", w * h, start).reshape(h, w)
+    left, top = struct.unpack_from("<6d", data, tags[33922][1])[3:5]
+    rows = [(int(round(top / 10)) - 1 - i, int(round(left / 10)) + j, round(float(grid[i, j]), 3)) for i in range(h) for j in range(w) if not np.isnan(grid[i, j])]
+    return spark.createDataFrame(rows, "row int, col long, value double")
