@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.shared import components, small_batches, staged
+from quadrat.llm.shared import components, shuffle_width, small_batches, staged
 
 RADIUS = 3
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -121,32 +121,36 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("three blocks cover radius 3 at most")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, vals = [], []
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-            vals.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if not keys:
-            return
-        key, val = np.concatenate(keys), np.concatenate(vals).view(np.uint64)
-        del keys, vals
-        order = np.argsort(key, kind="stable")
-        key, val = key[order], val[order]
-        edge = np.flatnonzero(np.diff(key)) + 1
-        starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
-        many = ends - starts > 1
+        """Rows come sorted by variant; a bucket that a batch may cut is held until it ends."""
+        held_key, held_val = np.empty(0, np.int64), np.empty(0, np.uint64)
         found: set[tuple[int, int]] = set()
-        for s, e in zip(starts[many], ends[many]):
-            found.update(bucket_links(val[s:e], radius))
+
+        def buckets(key: np.ndarray, val: np.ndarray) -> None:
+            edge = np.flatnonzero(np.diff(key)) + 1
+            starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
+            many = ends - starts > 1
+            for s, e in zip(starts[many], ends[many]):
+                found.update(bucket_links(val[s:e], radius))
+
+        for batch in batches:
+            key = np.concatenate([held_key, batch.column(0).to_numpy(zero_copy_only=False)])
+            val = np.concatenate([held_val, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            buckets(key[:last], val[:last])
+            held_key, held_val = key[last:], val[last:]
             if len(found) > 100_000:
                 yield out(found)
-                found = set()
+                found.clear()
+        buckets(held_key, held_val)
         yield out(found)
 
     def out(found: set) -> pa.RecordBatch:
         pairs = np.array(sorted(found), np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    return variants(fps).repartition("variant").mapInArrow(work, "a long, b long").distinct()
+    # few bytes but many variants, so the fingerprints are spread over all partitions first
+    made = variants(fps.select("fp").repartition(shuffle_width(fps.sparkSession)))
+    return made.repartition("variant").sortWithinPartitions("variant").mapInArrow(work, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
@@ -165,14 +169,15 @@ def classes_report(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
     """``docs`` with one document of each class, the smallest doc_id (one of its rows); all columns as they were.
 
-    Rows without doc_id cannot be told apart and stay.
+    Three bits are few: prints over shingles of five words tell apart what three words still join (README), so
+    three is the default. Rows without doc_id cannot be told apart and stay.
     """
-    found = staged(classes(docs, radius), "decisions")
+    found = staged(classes(docs, radius, shingle), "decisions")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     often = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_often"))
     if often.isEmpty():
         return left
