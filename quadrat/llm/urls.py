@@ -3,10 +3,10 @@
 Two smoothed variable-order Markov models (Witten-Bell, contexts of two characters backing off to one
 and none) are counted from the URLs that the rules allow and block. A URL's score is the difference of
 its log-likelihoods under them, divided by its characters; the threshold is the one with the least
-balanced error on a held-out fifth of the ruled URLs. All is DataFrame and SQL code. Characters are
+balanced error on a held-out fifth of the ruled URLs. All is DataFrame and SQL code. The whole URL is read, query and fragment included. Characters are
 folded to 61 classes, so a model is one array of 64**3 ratios whatever the input's size.
 
-Defined cases: a null url or one without ``://`` has empty host and path, no rule, and score 0; without
+Defined cases: a null url or one without ``://`` has empty host and path and no rule; a null or empty url has score 0; without
 ruled URLs of both kinds every ratio is 0 and the verdict is allow; repeated rows are judged alike;
 an empty table gives an empty result; extra columns are ignored.
 """
@@ -50,10 +50,15 @@ def with_grams(df: DataFrame, text: str) -> DataFrame:
     """Adds _grams, the trigram numbers of a text column; the first two begin with padding."""
     quoted = CHARACTERS.replace("'", "\\'")
     codes = F.expr(f"transform(split(lower({text}), ''), c -> coalesce(nullif(instr('{quoted}', c), 0), {OTHER}))")
-    coded = df.withColumn("_codes", F.concat(F.array(F.lit(0), F.lit(0)), codes))
-    at = lambda i, k: F.try_element_at("_codes", i + k)
-    numbers = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: at(i, 0) * SIDE * SIDE + at(i, 1) * SIDE + at(i, 2))
-    return coded.withColumn("_grams", F.when(F.length(text) > 0, numbers).otherwise(F.array().cast("array<int>"))).drop("_codes")
+    padded = F.concat(F.array(F.lit(0), F.lit(0)), codes)
+
+    def numbers(c):
+        """``c`` is bound by a lambda, so the characters are coded once."""
+        at = lambda i, k: F.try_element_at(c, i + k)
+        return F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: at(i, 0) * SIDE * SIDE + at(i, 1) * SIDE + at(i, 2))
+
+    grams = F.get(F.transform(F.array(padded), numbers), 0)
+    return df.withColumn("_grams", F.when(F.length(text) > 0, grams).otherwise(F.array().cast("array<int>")))
 
 
 def ratio_model(labelled: DataFrame) -> DataFrame:
@@ -111,9 +116,9 @@ def with_score(df: DataFrame, model: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce(F.col("url"), F.lit("")).alias("_text"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("said"), F.concat("host", "path").alias("_text"))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("said"))
     rows = with_grams(rows, "_text").select("page_id", "host", "path", "rule", "said", "_grams", (F.pmod(F.xxhash64("_text"), F.lit(HELD_OUT)) == 0).alias("_held"))
     ruled = rows.where(F.col("said").isNotNull()).withColumn("allow", F.col("said") == "allow")
     model = staged(ratio_model(ruled.where(~F.col("_held"))), "url-model")
