@@ -222,39 +222,64 @@ def test_banded_automaton_equals_edit_distance(spark):
             assert x.w == (edits(x.a, x.b) <= t) or not x.a or not x.b, (x.a, x.b, t)
 
 
+def plain_line_classes(texts, ids):
+    """(first place and number of texts of the class) of every line, by comparing all lines."""
+    first = {}
+    for i, t in zip(ids, texts):
+        for p, x in enumerate((t or "").split("\n")):
+            if x.strip(" "):
+                first.setdefault(x, (i, p))
+    ks = sorted(first, key=first.get)
+    root = {x: x for x in ks}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    by_size = collections.defaultdict(list)
+    for x in ks:
+        by_size[len(x)].append(x)
+    for n in by_size:
+        for d in (0, 1, 2):
+            for a in by_size[n] if n >= 10 else ():
+                for b in by_size.get(n + d, ()):
+                    if find(a) != find(b) and edits(a, b) <= 2:
+                        x, y = sorted((find(a), find(b)), key=first.get)
+                        root[y] = x
+    size = collections.Counter(map(find, ks))
+    return {x: (first[find(x)], size[find(x)]) for x in ks}
+
+
+def check_lines(docs, texts, ids):
+    classes = plain_line_classes(texts, ids)
+    got = {x.doc_id: x for x in lines.line_report(docs).collect()}
+    assert len(got) == len(texts)
+    for i, t in zip(ids, texts):
+        ls = (t or "").split("\n")
+        late = [(p, classes[x][0][0]) for p, x in enumerate(ls) if x in classes and classes[x][0] != (i, p)]
+        assert list(zip(got[i].dropped, got[i].first_docs)) == late
+        assert got[i].n_links == sum(classes[x][1] - 1 for x in ls if x in classes) and got[i].n_dropped == len(late)
+    return got
+
+
 def test_lines_equal_brute_force(spark):
     r, words = random.Random(4), vocabulary(2)
-    base = [prose(r, words, 12) + " tail." for _ in range(30)]
+    base = [prose(r, words, 12) + " tail." for _ in range(30)] + ["ten chars!", "nine char", "eleven char", "a b"]
 
     def mutate(s):
         s = list(s)
         for _ in range(r.randint(0, 3)):
             k = r.randrange(len(s))
-            s[k : k + r.randint(0, 1)] = r.choice(["", "q", "é", "zz"])
+            s[k : k + r.randint(0, 1)] = r.choice(["", "q", "é", "𝄞"])
         return "".join(s)
 
     texts = ["\n".join(mutate(r.choice(base)) if r.random() < 0.8 else "short" for _ in range(r.randint(1, 5))) for _ in range(60)] + [None, "", "\n\n", base[0], base[0]]
-    ids = list(range(len(texts)))
+    ids = [i - 20 for i in range(len(texts))]
     docs = docs_of(spark, texts, ids)
-    first = {}
-    for i, t in zip(ids, texts):
-        for p, x in enumerate((t or "").split("\n")):
-            if len(x) >= 40:
-                first.setdefault(x, (i, p))
-    ks = sorted(first, key=first.get)
-    near, links = set(), collections.Counter()
-    for i, a in enumerate(ks):
-        for b in ks[i + 1 :]:
-            if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
-                near.add(b)
-                links[a] += 1
-                links[b] += 1
-    got = {x.doc_id: x for x in lines.line_report(docs).collect()}
-    assert near and len(got) == len(texts)
-    for i, t in zip(ids, texts):
-        ls = (t or "").split("\n")
-        want = [p for p, x in enumerate(ls) if len(x) >= 40 and (x in near or first[x] != (i, p))]
-        assert got[i].dropped == want and got[i].n_links == sum(links[x] for x in ls if len(x) >= 40)
+    got = check_lines(docs, texts, ids)
+    assert sum(x.n_links for x in got.values())
     out = {x.doc_id: x for x in lines.deduplicate_lines(docs).collect()}
     for i, t in zip(ids, texts):
         want = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in got[i].dropped)
@@ -263,6 +288,56 @@ def test_lines_equal_brute_force(spark):
     assert lines.line_report(docs.limit(0)).count() == 0
 
 
+def test_lines_of_crowded_keys_equal_brute_force(spark):
+    """Templates whose lines share most segments: some are linked, most are not, and lengths differ."""
+    r = random.Random(8)
+    head, tail = "the quick brown fox jumps over the lazy dog near ", " and then walks home along the river bank at night."
+    texts = [f"{head}{r.randrange(10 ** r.choice((4, 5))):0{r.choice((4, 5))}d}{tail}" for _ in range(150)]
+    texts += [f"{head}{''.join(r.choice('abcdefghij') for _ in range(9))}{tail}" for _ in range(60)]
+    texts += [f"{r.choice('abcdef') * r.randint(1, 3)}{head}{r.choice('xyz')}{tail}{'.' * r.randint(0, 3)}" for _ in range(60)]
+    texts += ["-" * n + r.choice("+*") + "-" * (40 - n) for n in range(0, 40, 3)] + ["-" * n for n in range(30, 45)]
+    got = check_lines(docs_of(spark, texts).repartition(3), texts, list(range(len(texts))))
+    assert any(x.n_links > 50 for x in got.values()) and any(x.n_links == 0 for x in got.values())
+
+
+def test_one_key_of_five_thousand_variants(spark):
+    """Numbers of six digits in one line: linked where two digits differ at most, told from Hamming distance."""
+    r = random.Random(3)
+    numbers = r.sample(range(10**6), 5000)
+    texts = [f"all of these lines agree in very many characters {n:06d} and go on in the same way" for n in numbers]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    seen = {}
+    for i, n in enumerate(numbers):
+        s = f"{n:06d}"
+        keys = [(a, b, s[:a] + s[a + 1 : b] + s[b + 1 :]) for a in range(6) for b in range(a + 1, 6)]
+        # one digit out and another in
+        keys += [("d", s[:a] + s[a + 1 :]) for a in range(6)]
+        for k in keys:
+            a, b = find(i), find(seen.setdefault(k, i))
+            root[max(a, b)] = min(a, b)
+    got = lines.line_report(docs_of(spark, texts).repartition(4)).collect()
+    assert len(got) == 5000
+    for x in got:
+        assert x.dropped == ([0] if find(x.doc_id) != x.doc_id else [])
+
+
+def test_long_lines_and_text_ids(spark):
+    r = random.Random(6)
+    long = prose(r, vocabulary(3), 20000)
+    texts = [long, long[:50000] + "x" + long[50000:], long + "yyy", "z" + long[1:]]
+    got = {x.doc_id: x for x in lines.line_report(docs_of(spark, texts)).collect()}
+    assert [got[i].n_dropped for i in range(4)] == [0, 1, 0, 1]
+    with pytest.raises(ValueError):
+        lines.line_report(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_lines_with_null_and_repeated_ids(corpus):
     texts, ids, docs = corpus
     rows = lines.line_report(docs).collect()
@@ -270,7 +345,7 @@ def test_lines_with_null_and_repeated_ids(corpus):
     again = {(r.doc_id, tuple(r.dropped)) for r in rows if r.doc_id == 3}
     assert len(again) == 1  # the repeated row is the same document
     late = [r for r in rows if r.doc_id is None]
-    assert late[0].n_dropped == sum(len(x) >= 40 for x in texts[3].split("\n"))  # a null id ranks last
+    assert late[0].n_dropped == len(texts[3].split("\n"))  # a null id ranks last
 
 
 # --- language model
@@ -283,12 +358,12 @@ def test_gradients_match_differences():
     real, recurrent.REAL = recurrent.REAL, np.float64
     try:
         p = {k: rng.normal(0, 0.3, s) for k, s in recurrent.SHAPES.items()}
-        ids, first = rng.integers(0, recurrent.INPUTS, (3, 5)), np.zeros((3, 5), bool)
-        first[:, 0], first[1, 3] = True, True
-        oc = rng.integers(0, recurrent.END_CLASS + 1, (3, 5))
-        sl = np.where(oc < recurrent.CLASSES, rng.integers(0, recurrent.CLASS_WORDS, (3, 5)), 0)
-        live = np.ones((3, 5), bool)
-        live[2, 4] = False
+        ids, first = rng.integers(0, recurrent.INPUTS, (5, 3)), np.zeros((5, 3), bool)
+        first[0], first[3, 1] = True, True
+        oc = rng.integers(0, recurrent.END_CLASS + 1, (5, 3))
+        sl = np.where(oc < recurrent.CLASSES, rng.integers(0, recurrent.CLASS_WORDS, (5, 3)), 0)
+        live = np.ones((5, 3), bool)
+        live[4, 2] = False
         h0 = rng.normal(0, 0.2, (3, recurrent.HIDDEN))
         _, g, _ = recurrent.gradients(p, ids, first, oc, sl, live, h0)
         for k in recurrent.SHAPES:
@@ -307,15 +382,28 @@ def test_gradients_match_differences():
         recurrent.REAL = real
 
 
+def part_of(texts, held=None):
+    import numpy as np
+
+    words = [recurrent.tokens(t) for t in texts]
+    place = {}
+    flat = np.array([place.setdefault(w, len(place)) for x in words for w in x], np.int32)
+    sizes = np.array([len(x) for x in words], np.int32)
+    return recurrent.Part(held or [False] * len(texts), sizes.tobytes(), flat.tobytes(), recurrent.word_keys(list(place)).tobytes()), list(place)
+
+
 def test_lane_packing_and_windows_do_not_change_scores():
     import numpy as np
 
-    key = recurrent.word_key
-    lex = recurrent.Lexicon([(key(b"%d" % k), 50 - k) for k in range(20)], [1.0] * recurrent.RARE_CLASSES, 1000, 60, 10)
+    keys = recurrent.word_keys([b"%d" % k for k in range(20)])
+    lex = recurrent.Lexicon([(int(k), 50 - i) for i, k in enumerate(keys)], [1.0] * recurrent.RARE_CLASSES, 1000, 60, 10)
     rng = np.random.default_rng(1)
     p = {k: rng.normal(0, 0.3, s) for k, s in recurrent.SHAPES.items()}
-    known = np.sort(np.array([key(b"%d" % k) for k in range(20)], np.int64))
-    score = lambda ts: recurrent.score_documents(p, lex, ts, recurrent.WordTable(), known, np.full(20, 5))
+
+    def score(ts):
+        part, place = part_of(ts)
+        return list(zip(*recurrent.score_part(p, lex, part, np.full(len(place), 5))))
+
     texts = [" ".join(str(x) for x in rng.integers(0, 20, n)) for n in (0, 1, 5, 40, 200, 3)] + [None]
     together, alone = score(texts), [score([t])[0] for t in texts]
     assert [x[:2] for x in together] == [x[:2] for x in alone] and np.allclose([x[3] for x in together], [x[3] for x in alone], rtol=1e-4)
@@ -355,30 +443,41 @@ def test_model_learns_what_the_base_cannot(spark):
     assert held["s"] > held["b"] + 0.05 * held["n"]
 
 
-def test_network_learns_from_every_training_document(spark):
+def test_scores_equal_a_plain_run_over_every_training_document(spark):
+    """One shard: counts, training stream and scores are made without Spark."""
     import numpy as np
 
     r = random.Random(8)
     words = vocabulary(4, 60)
     texts = [" ".join(r.choices(words, k=6)) for _ in range(5500)]
-    docs = docs_of(spark, texts).coalesce(1)
-    training = docs.where(~recurrent.held_out(F.col("doc_id")))
-    rows, n = training.collect(), training.count()
-    assert n > 4500
-    counts = recurrent.count_words(training)
-    lex = recurrent.lexicon(counts, n)
-    table = recurrent.WordTable()
-    at = [table.places(recurrent.tokens(x.text)) for x in rows]
-    c = recurrent.codes(table.array(), lex).astype(np.int64)
-    ins = [np.concatenate([[recurrent.INPUTS - 1], c[k, 0]]) for k in at]
-    outs = [(np.concatenate([c[k, 1], [recurrent.END_CLASS]]), np.concatenate([c[k, 2], [0]])) for k in at]
-    p = {k: v.astype(np.float32) for k, v in recurrent.train(lex.start(), ins, outs).items()}
-    seen = sorted(map(tuple, counts.collect()))
-    known, n_seen = np.array([k for k, _ in seen]), np.array([m for _, m in seen])
-    all_ = docs.collect()
-    want = recurrent.score_documents(p, lex, [x.text for x in all_], recurrent.WordTable(), known, n_seen)
-    got = {x.doc_id: x.score for x in recurrent.score(docs).collect()}
-    assert max(abs(got[x.doc_id] - w[3]) for x, w in zip(all_, want)) < 1e-3
+    docs = docs_of(spark, texts)
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("h"), recurrent.held_out(F.col("doc_id")).alias("held")).orderBy("h").collect()
+    part, place = part_of([x.text for x in rows], [x.held for x in rows])
+    counts = collections.Counter(w for x in rows if not x.held for w in x.text.encode().split())
+    n = sum(not x.held for x in rows)
+    key = dict(zip(place, recurrent.word_keys(place).tolist()))
+    top = sorted(((key[w], c) for w, c in counts.items()), key=lambda x: (-x[1], x[0]))
+    rare = [0.1] * recurrent.RARE_CLASSES
+    lex = recurrent.Lexicon(top, rare, sum(counts.values()) + n, len(counts) + 1, n)
+    p = {k: v.astype(np.float32) for k, v in recurrent.train(lex.start(), *part.steps(lex, ~part.held)).items()}
+    want = recurrent.score_part(p, lex, part, np.array([counts[w] for w in place]))
+    got = {x.doc_id: x for x in recurrent.score(docs.repartition(5)).collect()}
+    assert n > 4500 and all(abs(got[x.doc_id].score - s) < 1e-6 * abs(s) and abs(got[x.doc_id].base_score - b) < 1e-9 * abs(b) for x, b, s in zip(rows, want[2], want[3]))
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    r = random.Random(9)
+    texts = [prose(r, vocabulary(5), r.randint(0, 120)) for _ in range(500)]
+    docs = docs_of(spark, texts)
+    monkeypatch.setattr(recurrent, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(recurrent, "MOST_PARTITIONS", 4)
+    monkeypatch.setattr(recurrent, "BROADCAST", 50)
+    runs = []
+    for n in (3, 37):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        runs.append(sorted(map(tuple, recurrent.score(docs.repartition(n)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert runs[0] == runs[1]
 
 
 # --- mixing
@@ -412,12 +511,65 @@ def test_mixing_meets_targets_and_keeps_clean(mixed):
     body = [r for r in rows if r.doc_id < 600]
     right = sum((r.p_clean, r.p_low, r.p_toxic).index(max(r.p_clean, r.p_low, r.p_toxic)) == {0: 1, 1: 2}.get(kind(r), 0) for r in body)
     assert right > 0.95 * len(body)
-    assert all(abs(r.p_clean + r.p_low + r.p_toxic - 1) < 1e-9 and 0 <= r.rate <= mixing.MOST for r in rows)
-    total = lambda p: sum(r.tokens * r[p] * r.rate for r in rows)
-    before = sum(r.tokens * r.p_clean for r in rows)
-    assert abs(total("p_clean") - before) < 0.1 * before and total("p_toxic") < 0.03 * before and abs(total("p_low") - before * 0.02 / 0.98) < 0.03 * before
+    assert all(abs(r.p_clean + r.p_low + r.p_toxic - 1) < 1e-9 and 0 <= r.rate for r in rows)
     clean = [r for r in body if kind(r) > 1]
     assert sum(r.copies >= 1 for r in clean) > 0.97 * len(clean)
+    # what the rates, and the copies, bring of each domain, against the targets
+    total = lambda p, c: sum(r.tokens * r[p] * r[c] for r in rows)
+    before = sum(r.tokens * r.p_clean for r in rows)
+    for p, want in (("p_clean", before), ("p_low", before * 0.02 / 0.98), ("p_toxic", 0.0)):
+        # rates are rounded to copies by chance: four standard deviations
+        chance = 4 * math.sqrt(sum((r.tokens * r[p]) ** 2 * (r.rate % 1) * (1 - r.rate % 1) for r in rows))
+        assert abs(total(p, "rate") - want) < 0.001 * before and abs(total(p, "copies") - want) < 0.001 * before + chance
+    told = {r.domain: r for r in mixing.mixing_totals(docs, lab).collect()}
+    assert abs(told["low"].expected - total("p_low", "rate")) < 1e-6 * before and abs(told["low"].copied - total("p_low", "copies")) < 1e-6 * before
+
+
+def test_posteriors_and_rates_equal_plain_ones(mixed):
+    """Naive Bayes and projected descent by loops, from the features that the operator counted."""
+    import numpy as np
+
+    docs, lab = mixed
+    bins = mixing.feature_bins(docs, mixing.lexicons(docs, lab)).collect()
+    domain = {r.doc_id: 2 if r.toxic == 1 else 1 - r.quality for r in lab.collect() if r.doc_id is not None and r.quality is not None}
+    known = [r for r in bins if r.doc_id in domain]
+    size = [sum(domain[r.doc_id] == d for r in known) for d in range(3)]
+    hits = collections.Counter((domain[r.doc_id], f, b) for r in known for f, b in enumerate(r.bins))
+    want = {}
+    for r in bins:
+        s = [math.log((size[d] + 0.5) / (sum(size) + 1.5)) + sum(math.log((hits[d, f, b] + 0.05) / (size[d] + 0.05 * mixing.BINS)) for f, b in enumerate(r.bins)) for d in range(3)]
+        e = np.exp(np.array(s) - max(s))
+        want[r.doc_id] = e / e.sum()
+    got = {r.doc_id: r for r in mixing.mixing_report(docs, lab).collect()}
+    assert all(np.allclose([got[i].p_clean, got[i].p_low, got[i].p_toxic], p, atol=1e-9) for i, p in want.items())
+    ids = sorted(want)
+    p, w = np.array([want[i] for i in ids]), np.array([got[i].tokens for i in ids], float)
+    s0 = w @ p
+    target = s0[0] / mixing.WEIGHTS[0] * np.array(mixing.WEIGHTS)
+
+    def descend(rate, move, held):
+        def look(r):
+            live = move & (r > 0)
+            return w[move] @ (p[move] * r[move, None]) + held - target, (p[live] * w[live, None]).T @ p[live]
+
+        (gap, gram), scale = look(rate), 1.0
+        for _ in range(mixing.STEPS):
+            if np.abs(gap).max() <= mixing.TOLERANCE * target.sum() or scale < mixing.LEAST_SCALE:
+                break
+            trial = rate.copy()
+            trial[move] = np.maximum(0, rate[move] - p[move] @ (scale * np.linalg.solve(gram + mixing.DAMP * np.trace(gram) * np.eye(3), gap)))
+            after, gram_after = look(trial)
+            if after @ after < mixing.GAIN * (gap @ gap):
+                rate, gap, gram, scale = trial, after, gram_after, 1.0
+            else:
+                scale /= 2
+        return rate
+
+    rate = descend(np.ones(len(ids)), np.ones(len(ids), bool), np.zeros(3))
+    near = np.abs(rate - 1) <= mixing.SLACK
+    rate = np.where(near, 1.0, rate)
+    rate = descend(rate, ~near, w[near] @ p[near])
+    assert np.allclose([got[i].rate for i in ids], rate, atol=1e-4)
 
 
 def test_mix_stage_follows_copies(mixed):
@@ -437,6 +589,85 @@ def test_mixing_without_labels_or_rows(mixed):
 # --- the pipeline
 
 
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """Every stage by loops on a small corpus with nulls, empties, copies, near copies, repeated rows and clashing column names."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    r, words = random.Random(21), vocabulary(9, 500)
+    texts = ["\n".join(prose(r, words, r.randint(20, 60)) for _ in range(r.randint(2, 4))) for _ in range(60)]
+    texts += [texts[0], texts[1][:-1] + "x", texts[2] + "\n" + texts[3].split("\n")[0], None, "", "few words", "### $$$ " * 60, prose(r, words, 6000)]
+    texts += [texts[4].replace(words[0], words[1], 1), "\n".join([texts[5].split("\n")[0]] * 9)]
+    ids = [3 * i + 1 for i in range(len(texts))]
+    extra = ["_qd", "_qk", "_qx", "_qc", "_qr", "_gone", "_often", "_l", "_k", "col", "words", "kept", "key", "id", "pos", "line", "place"]
+    # the second row repeats a document; a document without id stays one
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{c}{i}" for c in extra]) for i, t in zip([*ids, ids[1], None], [*texts, texts[1], texts[6]])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 9 != 1), 0) for i in ids[:40]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    by_name = dict(quality.RULES)
+    left = [x for x in rows if all(not by_name[n](quality.Features(x[1])) for n in by_name)]
+    kept = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, left)) and len(left) < len(rows)
+
+    order = sorted(left, key=lambda x: (x[0] is None, x[0] or 0))
+    classes = plain_line_classes([x[1] for x in order], [(x[0] is None, x[0] or 0) for x in order])
+    lined = []
+    for x in left:
+        place = (x[0] is None, x[0] or 0)
+        text = "\n".join(y for p, y in enumerate(x[1].split("\n")) if y not in classes or classes[y][0] == (place, p))
+        lined.append((x[0], text, x[2], x[3], len(text), *x[5:]))
+    kept = corpus_pipeline.line_dedup(spark, spark.createDataFrame(left, schema), str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, lined)) and [x[1] for x in lined] != [x[1] for x in left]
+
+    group = plain_classes([simhash.fingerprint(x[1]) for x in lined])
+    least = {}
+    for x, g in zip(lined, group):
+        if x[0] is not None:
+            least[g] = min(least.get(g, x[0]), x[0])
+    once, single = set(), []
+    for x, g in zip(lined, group):
+        if x[0] is None or x[0] == least[g] and x[0] not in once:
+            once.add(x[0])
+            single.append(x)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(lined, schema), str(tmp_path))
+    assert kept.columns == docs.columns and sorted(str(tuple(x)) for x in kept.collect()) == sorted(map(str, single)) and len(single) < len(lined)
+
+    dealt = spark.createDataFrame(single, schema)
+    times = {x.doc_id: x.copies for x in mixing.mixing_report(dealt, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()}
+    mixed_rows = [x for x in single for _ in range(times[x[0]])]
+    kept = corpus_pipeline.target_mix(spark, dealt, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, mixed_rows))
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(x.doc_id), x.text, tuple(x.ids), x.n_tokens) for x in got) == sorted((str(x[0]), x[1], (*sp.encode(x[1]), sp.eos_id()), len(sp.encode(x[1])) + 1) for x in mixed_rows)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from quadrat.llm import queries
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {name} as select * from read_parquet('{d}/{name}.parquet')")
+    cell = lambda v: round(v, 12) if isinstance(v, float) else v
+    for name, sql in queries.ORACLE_SQL.items():
+        df = queries.QUERIES[name](spark, d)
+        want = con.execute(sql)
+        columns = [c[0] for c in want.description]
+        assert sorted(columns) == sorted(df.columns), name
+        assert sorted(str([cell(r[c]) for c in columns]) for r in df.collect()) == sorted(str([cell(v) for v in r]) for r in want.fetchall()), name
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_pipeline_stages(spark):
     import corpus_pipeline
