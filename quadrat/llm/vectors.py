@@ -1,12 +1,17 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-Centroids are fitted by balanced k-means to a bounded sample; every distinct vector is indexed. A vector
+Centroids are fitted by balanced k-means to a bounded sample, in two levels where there are many; every
+distinct vector is indexed. The number of lists grows with the rows, ``LIST_ROWS`` a list, up to
+``MAX_LISTS``; beyond that lists grow longer and all of a list is read. A vector
 near a boundary is replicated to each cluster whose centroid is within ``(1 + REPLICATE)`` of its nearest
 centroid's distance and not hidden behind a nearer chosen centroid. Centroids are searched through an
 in-memory neighbour graph by best-first search. A query reads every list whose distance ratio to its
 nearest centroid is at most ``1 + probe``; no number limits them. ``probe`` is ``PROBE`` or more: it is widened
-until sampled queries find ``RECALL`` of their exact nearest. Lists are cut into blocks of ``BLOCK_ROWS`` vectors, so a long
-list is scored by many tasks, and every block returns its best 20, so merges stay small.
+until sampled queries find ``RECALL`` of their exact nearest.
+
+Neighbouring lists are packed into groups of ``GROUP_ROWS`` vectors; a longer list is cut into blocks. A query travels
+once to each group that holds lists it reads, with their numbers, and queries of a group are cut into
+blocks of ``QUERY_ROWS``, so a task holds a bounded number of either. Every block returns its best 20, so merges stay small.
 
 Vectors of different length are compared by inner product: distances use the reduction that adds one
 coordinate, sqrt(max norm^2 - norm^2), after which nearest means largest inner product.
@@ -25,17 +30,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quadrat.llm.shared import staged
+from quadrat.llm.shared import shuffle_width, staged
 
 TOP, QUERY_STEP = 20, 20
-SAMPLE, LIST_ROWS, MAX_LISTS = 16384, 96, 1024
+SAMPLE, LIST_ROWS, MAX_LISTS = 65536, 96, 16384
+#: Lists up to which k-means runs in one level, and vectors that one level is fitted to.
+FLAT_LISTS, FLAT_SAMPLE = 640, 16384
 REPLICATE, MAX_COPIES, PROBE, MIN_LISTS, DEGREE = 0.10, 4, 0.22, 12, 24
-BLOCK_ROWS = 4096
+GROUP_ROWS, QUERY_ROWS = 8192, 2048
 #: Queries whose exact nearest set the probe, and the share of these that its lists must hold (0.9 is asked for).
 TRIALS, RECALL = 256, 0.95
 
@@ -97,6 +105,20 @@ def balanced_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np
     return c
 
 
+def two_level_means(x: np.ndarray, k: int) -> np.ndarray:
+    """Up to ``FLAT_LISTS`` centroids directly; more as centroids of the cells of a coarse level, in cell order."""
+    if k <= FLAT_LISTS:
+        return balanced_means(x[:FLAT_SAMPLE], k)
+    coarse = balanced_means(x[:FLAT_SAMPLE], math.isqrt(k))
+    cell = ((coarse**2).sum(1)[None] - 2 * x @ coarse.T).argmin(1)
+    out = []
+    for c in range(len(coarse)):
+        mine = x[cell == c]
+        if len(mine):
+            out.append(balanced_means(mine, max(1, min(len(mine), round(k * len(mine) / len(x))))))
+    return np.concatenate(out)
+
+
 class Index:
     """Centroids with a neighbour graph; searched best-first, many vectors at a time."""
 
@@ -116,8 +138,11 @@ class Index:
         extra = np.zeros(len(v)) if query else np.sqrt(np.maximum(self.peak - (v**2).sum(1), 0))
         return np.concatenate([v, extra[:, None]], axis=1)
 
-    def search(self, x: np.ndarray, beam: int = 96) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and numbers of up to ``beam`` near centroids for each row, nearest first."""
+    def search(self, x: np.ndarray, beam: int = 96, ratio: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and numbers of near centroids for each row, nearest first: ``beam``, or all seen if a ratio is given.
+
+        The walk goes on while a row's nearest unvisited centroid is among its ``beam`` nearest or within 1 + ``ratio`` of the nearest.
+        """
         n, m = len(self.c), len(x)
         beam = min(beam, n)
         seen = np.zeros((m, n), bool)
@@ -141,12 +166,12 @@ class Index:
             nxt = open_.argmin(1)
             best = open_[np.arange(len(live)), nxt]
             kth = np.partition(dist[live], beam - 1, axis=1)[:, beam - 1]
-            go = np.isfinite(best) & (best <= kth)
+            go = np.isfinite(best) & (best <= np.maximum(kth, (1 + ratio) * dist[live].min(1)))
             live, nxt = live[go], nxt[go]
             if len(live):
                 done[live, nxt] = True
                 look(live, self.graph[nxt])
-        order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
+        order = np.argsort(dist, axis=1, kind="stable")[:, : beam if ratio < 0 else n]
         return np.take_along_axis(dist, order, 1), order
 
     def lists_of(self, v: np.ndarray) -> list[np.ndarray]:
@@ -165,14 +190,17 @@ class Index:
 
     def lists_for(self, q: np.ndarray) -> list[np.ndarray]:
         """The lists that each query reads: ratio pruning, with a least number."""
-        d = self.distances(q)
-        near = np.argsort(d, axis=1, kind="stable")
-        return [row[(d_[row] <= (1 + self.probe) * d_[row[0]]) | (np.arange(len(row)) < MIN_LISTS)] for d_, row in zip(d, near)]
+        d, near = self.search(self.scaled(q), MIN_LISTS, self.probe)
+        reach = (d <= (1 + self.probe) * d[:, :1]) | (np.arange(d.shape[1]) < MIN_LISTS)
+        return [row[take & np.isfinite(d_)] for d_, row, take in zip(d, near, reach)]
+
+    def scaled(self, q: np.ndarray) -> np.ndarray:
+        """Queries lifted at the longest vector's length: order by inner product does not change."""
+        return self.lift(q * (np.sqrt(self.peak) / np.sqrt((q**2).sum(1)))[:, None], True)
 
     def distances(self, q: np.ndarray) -> np.ndarray:
         """Distances of queries to all centroids."""
-        # scaled to the longest vector's length: order by inner product does not change
-        x = self.lift(q * (np.sqrt(self.peak) / np.sqrt((q**2).sum(1)))[:, None], True)
+        x = self.scaled(q)
         return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ self.c.T + (self.c**2).sum(1)[None], 0))
 
     def calibrate(self, q: np.ndarray, nearest: list[np.ndarray]) -> None:
@@ -191,11 +219,12 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> Index | None:
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("peak")).first()
     if not stats["n"]:
         return None
-    rows = vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").collect()
-    x = np.array([r[0] for r in rows])
+    # a little more than the sample is picked by hash in the tasks, so each sends its share only
+    picked = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, (1.1 * sample + 1000) / stats["n"]) * (1 << 30))
+    x = matrix(vectors.where(picked).orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toArrow().column(0))
     k = int(min(MAX_LISTS, max(1, stats["n"] // LIST_ROWS), len(x)))
     lifted = np.concatenate([x, np.sqrt(np.maximum(stats["peak"] - (x**2).sum(1), 0))[:, None]], axis=1)
-    index = Index(balanced_means(lifted, k), float(stats["peak"]))
+    index = Index(two_level_means(lifted, k), float(stats["peak"]))
     trials = x[:TRIALS]
     index.calibrate(trials, exact_nearest(vectors, trials))
     return index
@@ -207,7 +236,7 @@ def exact_nearest(vectors: DataFrame, q: np.ndarray, top: int = TOP) -> list[np.
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [(np.empty(0), np.empty((0, q.shape[1]))) for _ in q]
         for batch in batches:
-            v = np.array(batch.column(0).to_pylist()).reshape(batch.num_rows, -1)
+            v = matrix(batch.column(0))
             if not len(v):
                 continue
             scores = q @ v.T
@@ -230,14 +259,63 @@ def exact_nearest(vectors: DataFrame, q: np.ndarray, top: int = TOP) -> list[np.
     return [np.array(v).reshape(len(v), q.shape[1]) for v in out]
 
 
-def inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """All inner products, each summed in component order."""
-    out = np.zeros((len(q), len(v)))
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal width as one array."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def packed(lists: list[np.ndarray], kind: str) -> pa.Array:
+    return pa.array([x.astype(kind).tobytes() for x in lists], pa.binary())
+
+
+def dots(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of matching rows, each summed in component order."""
+    out = np.zeros(len(q))
     for j in range(q.shape[1]):
-        out += q[:, j, None] * v[None, :, j]
+        out += q[:, j] * v[:, j]
     return out
 
 
+def groups_of(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each list, blocks of each group): lists in order, GROUP_ROWS vectors a group or a list alone."""
+    group, size = np.zeros(len(counts), np.int32), [0]
+    for i, n in enumerate(counts):
+        if size[-1] and size[-1] + n > GROUP_ROWS:
+            size.append(0)
+        group[i] = len(size) - 1
+        size[-1] += n
+    return group, np.maximum(1, -(-np.array(size) // GROUP_ROWS)).astype(np.int32)
+
+
+def best_of(q: pa.Table, t: pa.Table, top: int) -> Iterator[pa.Table]:
+    """The ``top`` + 1 best vectors (one may be the query's own copy) of a block for each of its queries, all that equal the last along."""
+    key, v, lists = t.column("key").to_numpy(), matrix(t.column("v")), t.column("list").to_numpy()
+    # a vector's copies in several lists of the block are one
+    _, first, same = np.unique(key, return_index=True, return_inverse=True)
+    extra = np.setdiff1d(np.arange(len(key)), first)
+    names, column = np.unique(lists, return_inverse=True)
+    size = np.sqrt((v[first] ** 2).sum(1).max())
+    ids = t.column("ids").combine_chunks()
+    for at in range(0, q.num_rows, 256):
+        part = q.slice(at, 256)
+        x, asked = matrix(part.column("q")), part.column("lists").to_pylist()
+        reads = np.zeros((len(x), len(names)), bool)
+        for i, b in enumerate(asked):
+            reads[i, np.searchsorted(names, np.intersect1d(np.frombuffer(b, np.int32), names))] = True
+        seen = reads[:, column[first]]
+        if len(extra):
+            where, which = np.nonzero(reads[:, column[extra]])
+            seen[where, same[extra[which]]] = True
+        s = np.where(seen, x @ v[first].T, -np.inf)
+        last = np.partition(s, -(top + 1), axis=1)[:, -(top + 1)] if s.shape[1] > top + 1 else np.full(len(s), -np.inf)
+        # products by the library differ from sums in component order by rounding only
+        slack = 1e-12 * size * np.sqrt((x**2).sum(1)) + 1e-300
+        r, c = np.nonzero((s >= (last - slack)[:, None]) & np.isfinite(s))
+        c = first[c]
+        yield pa.table([part.column("qkey").take(pa.array(r)), pa.array(key[c]), pa.array(dots(x[r], v[c])), ids.take(pa.array(c))], names=["qkey", "key", "score", "ids"])
+
+
 def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of every row whose vec_id is divisible by ``step``."""
     spark = rows.sparkSession
@@ -254,42 +332,47 @@ def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                v = np.array(part.column(1).to_pylist())
-                lists = index.value.lists_of(v)
+                lists = index.value.lists_of(v := matrix(part.column(1)))
                 take = pa.array(np.repeat(np.arange(len(v)), [len(x) for x in lists]))
                 sub = pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), *[c.take(take) for c in part.columns]], names=["list", "key", "v", "ids"])
                 yield sub
 
+    postings = staged(vectors.select("key", "v", "ids").mapInArrow(place, "list int, key long, v array<double>, ids array<long>"), "postings")
+    # one count a list: at most MAX_LISTS rows
+    counts = {r[0]: r[1] for r in postings.groupBy("list").count().collect()}
+    group, blocks = groups_of([counts.get(i, 0) for i in range(max(counts) + 1)])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                q = np.array(part.column(0).to_pylist())
-                lists = index.value.lists_for(q)
-                take = pa.array(np.repeat(np.arange(len(q)), [len(x) for x in lists]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), part.column(1).take(take), part.column(0).take(take)], names=["list", "qkey", "q"])
-
-    postings = staged(vectors.select("key", "v", "ids").mapInArrow(place, "list int, key long, v array<double>, ids array<long>"), "postings")
-    # one count a list: at most MAX_LISTS rows
-    blocks = postings.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
-    cut = postings.join(F.broadcast(blocks), "list").withColumn("block", F.pmod("key", F.col("blocks")).cast("int"))
-    asked = valid.where(F.pmod("vec_id", F.lit(step)) == 0).select("v").distinct().select("v", F.xxhash64("v").alias("qkey")).mapInArrow(ask, "list int, qkey long, q array<double>")
-    asked = asked.join(F.broadcast(blocks.select("list", F.col("blocks").alias("of"))), "list").select("list", "qkey", "q", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("block"))
+                rows_, groups, blocks_, lists = [], [], [], []
+                for i, mine in enumerate(index.value.lists_for(matrix(part.column(0)))):
+                    mine = np.sort(mine[mine < len(group)])
+                    for g in np.unique(group[mine]):
+                        for b in range(blocks[g]):
+                            rows_.append(i)
+                            groups.append(g)
+                            blocks_.append(b)
+                            lists.append(mine[group[mine] == g])
+                take = pa.array(rows_, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(blocks_, pa.int32()), part.column(1).take(take), part.column(0).take(take), packed(lists, "int32")], names=["group", "block", "qkey", "q", "lists"])
+
+    asked = valid.where(F.pmod("vec_id", F.lit(step)) == 0).select("v").distinct().select("v", F.xxhash64("v").alias("qkey")).repartition(shuffle_width(spark))
+    asked = staged(asked.mapInArrow(ask, "group int, block int, qkey long, q array<double>, lists binary"), "queries")
+    # one count a group, of which there are not more than lists
+    crowd = {r[0]: r[1] for r in asked.where("block = 0").groupBy("group").count().collect()}
+    parts = [max(1, -(-crowd.get(g, 0) // QUERY_ROWS)) for g in range(len(blocks))]
+    # a row a list and a row a group: at most MAX_LISTS each; types must be those of the rows, or groups are dealt apart
+    of_list = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(group)), "group": group}), "list int, group int")
+    of_group = lambda: F.broadcast(spark.createDataFrame(pd.DataFrame({"group": np.arange(len(blocks)), "blocks": blocks, "parts": parts}), "group int, blocks int, parts int"))
+    asked = asked.join(of_group(), "group").withColumn("part", F.pmod("qkey", "parts").cast("int"))
+    cut = postings.join(F.broadcast(of_list), "list").join(of_group(), "group")
+    cut = cut.withColumn("block", F.pmod("key", "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.list_(pa.int64()))], names=["qkey", "key", "score", "ids"])
 
     def score(q: pa.Table, t: pa.Table) -> pa.Table:
-        """The best of one block for its queries. A block holds BLOCK_ROWS postings or so; a query meets it once."""
-        parts = []
-        v = np.array(t.column("v").to_pylist()).reshape(t.num_rows, -1)
-        keys, ids = t.column("key").to_numpy(), t.column("ids").combine_chunks()
-        for at in range(0, q.num_rows if t.num_rows else 0, 256):
-            part = q.slice(at, 256)
-            s = inner(np.array(part.column("q").to_pylist()), v)
-            # a query's own copy may take one place, so one more is read; all that equal the last come along
-            floor = np.partition(s, -(top + 1), axis=1)[:, -(top + 1)] if s.shape[1] > top + 1 else np.full(len(s), -np.inf)
-            r, c = np.nonzero(s >= floor[:, None])
-            parts.append(pa.table([part.column("qkey").take(pa.array(r)), pa.array(keys[c]), pa.array(s[r, c]), ids.take(pa.array(c))], names=["qkey", "key", "score", "ids"]))
-        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.list_(pa.int64()))], names=["qkey", "key", "score", "ids"])
-        return pa.concat_tables(parts) if parts else none
+        return pa.concat_tables(best_of(q, t, top)).combine_chunks() if q.num_rows and t.num_rows else none
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best of a task's blocks for each query, all that equal the last along, so many lists stay few rows."""
@@ -317,7 +400,7 @@ def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFrame
             yield from best(pa.Table.from_batches(held)).to_batches(max_chunksize=10_000)
 
     result_rows = "qkey long, key long, score double, ids array<long>"
-    found = asked.groupBy("list", "block").cogroup(cut.groupBy("list", "block")).applyInArrow(score, result_rows).mapInArrow(merge, result_rows)
+    found = asked.groupBy("group", "block", "part").cogroup(cut.groupBy("group", "block", "part")).applyInArrow(score, result_rows).mapInArrow(merge, result_rows)
     near = found.dropDuplicates(["qkey", "key"]).select("qkey", "score", F.explode("ids").alias("vec_id"))
     # top + 1 ids a distinct query vector; the query's own row is taken out afterwards
     order = W.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
