@@ -225,7 +225,9 @@ def kept_lines(lines: list[str], marks: list[int], gone: list[int] | None) -> li
 
 
 def row_key() -> Column:
-    return F.xxhash64("page_id", "url", "html")
+    """Two hashes of a row, as text."""
+    one = lambda *more: F.lpad(F.hex(F.xxhash64("page_id", "url", "html", *more)), 16, "0")
+    return F.concat(one(), one(F.lit(7)))
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
@@ -245,7 +247,7 @@ def page_keys(pages: DataFrame) -> DataFrame:
                 new = [pa.array([g[1] for g in got], pa.list_(pa.int8())), pa.array(hashes, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *new], names=names)
 
-    return rows.mapInArrow(work, "host string, path string, _k long, marks array<tinyint>, hashes array<long>")
+    return rows.mapInArrow(work, "host string, path string, _k string, marks array<tinyint>, hashes array<long>")
 
 
 def common_prefix(a: str, b: str) -> int:
@@ -267,7 +269,7 @@ def mates(keys: DataFrame) -> DataFrame:
         names = ["part", "edge", "host", "path", "_k", "mate", "same"]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
@@ -289,18 +291,18 @@ def mates(keys: DataFrame) -> DataFrame:
 
     ordered = keys.distinct().repartitionByRange("host", "path", "_k").sortWithinPartitions("host", "path", "_k")
     numbered = ordered.select(F.spark_partition_id().alias("part"), "host", "path", "_k")
-    found = staged(numbered.mapInArrow(scan, "part int, edge string, host string, path string, _k long, mate long, same int"), "mates")
+    found = staged(numbered.mapInArrow(scan, "part int, edge string, host string, path string, _k string, mate string, same int"), "mates")
     edges = sorted(found.where("edge != ''").select("part", "edge", "host", "path", "_k", "same").collect(), key=lambda r: (r["part"], "first" not in r["edge"]))
-    better: dict[int, tuple[int, int]] = {}
+    better: dict[str, tuple[int, str]] = {}
     for left, right in zip(edges, edges[1:]):
         if left["part"] != right["part"] and left["host"] == right["host"]:
             score = common_prefix(left["path"], right["path"])
             for me, other, wins in ((left, right, score > left["same"]), (right, left, score >= right["same"])):
-                if wins and score > better.get(me["_k"], (-1, 0))[0]:
+                if wins and score > better.get(me["_k"], (-1, ""))[0]:
                     better[me["_k"]] = score, other["_k"]
     if not better:
         return found.select("_k", "mate")
-    patch = spark.createDataFrame([(k, v[1]) for k, v in better.items()], "_k long, new long")
+    patch = spark.createDataFrame([(k, v[1]) for k, v in better.items()], "_k string, new string")
     # two rows a partition at most
     return found.join(F.broadcast(patch), "_k", "left").select("_k", F.coalesce("new", "mate").alias("mate"))
 
@@ -319,7 +321,7 @@ def deletions(pages: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["_k", "gone"])
             yield out.filter(pa.array([bool(g) for g in gone], pa.bool_()))
 
-    return staged(joined.mapInArrow(work, "_k long, gone array<int>"), "deleted-lines")
+    return staged(joined.mapInArrow(work, "_k string, gone array<int>"), "deleted-lines")
 
 
 def extract(pages: DataFrame) -> DataFrame:
