@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quadrat.llm.shared import WHITE
 
 SYMBOLS = "#*$%&|<>"
-#: Rows that order the cascade; they affect speed only, never a verdict.
-SAMPLE_ROWS = 256
+#: Rows that order the cascade, and their most bytes; they affect speed only, never a verdict.
+SAMPLE_ROWS, SAMPLE_BYTES = 256, 1 << 16
 
 
 class Features:
@@ -126,7 +126,8 @@ def cascade_order(texts: list[str], rules: list[Rule] = RULES) -> list[str]:
 
 
 def plan_cascade(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    near = docs.select(F.col("text")).where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).limit(sample_rows)
+    short = F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES
+    near = docs.select("text").where(short & (F.pmod(F.xxhash64("text"), F.lit(4)) == 0)).limit(sample_rows)
     return cascade_order([r[0] or "" for r in near.collect()], rules)
 
 
