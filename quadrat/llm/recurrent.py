@@ -1,21 +1,25 @@
 """Language-model scoring with a gated recurrent network in numpy.
 
-Counting: training words are counted in every task and summed by a shuffle, over all training documents.
+Shards: documents are dealt by a hash of doc_id and text into shards of about ``SHARD_BYTES`` of text, and
+sorted in them by another, so what a shard holds does not depend on how the table is partitioned. Each shard is split into
+words once and kept as places in its own table of distinct words, with their counts.
+
+Counting: the shards' counts over all training documents are summed by a shuffle. A shard is sent back the
+totals that differ from its own, but for the commonest words, ``BROADCAST`` at most, which go to every task.
 The ``FREQUENT`` commonest words form equal classes by frequency; all other words fall into
 ``RARE_CLASSES`` classes by their ending, inside which a word has its smoothed unigram share, so every
 word, seen or not, has a probability. The end is a class of its own. The output softmax is factored:
 class first, then the word within its class.
 
-Training: every task trains its own copy from the common start (the unigram model) on all of its training
+Training: every shard trains its own copy from the common start (the unigram model) on all of its training
 documents, by truncated backpropagation through windows of ``WINDOW`` steps with the state carried from
-window to window; parameters are averaged, weighted by tokens.
+window to window; parameters are averaged, weighted by tokens, in the order of shards.
 
-Scoring: documents are dealt into buckets; the distinct words of a bucket fetch their counts through one
-join; each bucket is scored with that dictionary, documents packed into lanes, state carried across
-windows from the first word of a document to its end.
+Scoring: the documents of a shard are packed into lanes, state carried across windows from the first word of a
+document to its end.
 
 Defined cases: a null text is empty (the end alone); a null doc_id is a training document; repeated
-rows are scored each and count each; texts are read whole in windows; without training documents every
+rows are scored each and count each (rows equal in doc_id and text share a shard, which is written in parts of ``PART_BYTES``); texts are read whole in windows; without training documents every
 count is 0 and all words share one rare mass; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -24,63 +28,108 @@ from __future__ import annotations
 
 import heapq
 import math
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.shared import shuffle_width, staged
+from quadrat.llm.shared import small_batches, staged
 from quadrat.llm.simhash import LOWER
 
-FREQUENT, CLASS_WORDS, RARE_CLASSES, HIDDEN = 1024, 32, 32, 24
+FREQUENT, CLASS_WORDS, RARE_CLASSES, HIDDEN = 1024, 64, 32, 24
 CLASSES = FREQUENT // CLASS_WORDS
 END_CLASS = CLASSES + RARE_CLASSES
 INPUTS = FREQUENT + RARE_CLASSES + 1
-WINDOW, LANES, SCORE_LANES, RATE = 16, 64, 256, 0.01
+WINDOW, LANES, SCORE_LANES, RATE = 16, 512, 256, 0.02
+LEAST_STEPS = 256
+#: Bytes of text in a shard, as dealt, and at which a shard goes on in another part; most shards a partition is made for.
+SHARD_BYTES, PART_BYTES, MOST_PARTITIONS = 1 << 24, 1 << 26, 100_000
+BROADCAST = 1 << 18
 REAL = np.float32
 PART = 1000
 SHAPES = {"G": (INPUTS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "Wc": (HIDDEN, END_CLASS + 1), "bc": (END_CLASS + 1,), "Ww": (CLASSES, HIDDEN, CLASS_WORDS), "bw": (CLASSES, CLASS_WORDS)}
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+def tokens(text: str | bytes | None) -> list[bytes]:
+    plain = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return plain.translate(LOWER).split()
 
 
-def word_key(word: bytes) -> int:
-    """59 hash bits and, in the low five, the rare class (by the word's last two bytes), as a signed long."""
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """Of each word 59 hash bits and, in the low five, the rare class (by the word's last two bytes), as signed longs."""
     import xxhash
 
-    return ((xxhash.xxh64_intdigest(word) & ~(RARE_CLASSES - 1)) | (xxhash.xxh32_intdigest(word[-2:]) % RARE_CLASSES)) - (1 << 63)
+    n = len(words)
+    if not n:
+        return np.empty(0, np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    last = np.cumsum(sizes) - 1
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
+    ends = flat[last] * np.uint64(7) + np.where(sizes > 1, flat[np.maximum(last - 1, 0)], np.uint64(0))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    return ((hashes & ~np.uint64(RARE_CLASSES - 1)) | (ends % np.uint64(RARE_CLASSES))).view(np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(key, c) over whole texts; each task sums its own words first."""
+def shards(docs: DataFrame, n: int) -> DataFrame:
+    """unit, doc_ids, held, sizes (words of each document), places (of all words), keys and counts (of training words) of each part of a shard."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("shard"), F.xxhash64("doc_id", "text", F.lit(5)).alias("h"))
+    dealt = rows.repartitionById(min(n, MOST_PARTITIONS), "shard").sortWithinPartitions("shard", "h", "doc_id").drop("h")
+    names = ["unit", "doc_ids", "held", "sizes", "places", "keys", "counts"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+        ids, held, parts, table, size, now = [], [], [], defaultdict(count().__next__), 0, (-1, 0)
 
         def out() -> pa.RecordBatch:
-            r = pa.RecordBatch.from_arrays([pa.array([word_key(w) for w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["key", "c"])
-            seen.clear()
-            return r
+            sizes = np.array([len(x) for x in parts], np.int32)
+            places = np.concatenate(parts)
+            seen = np.bincount(places[~np.repeat(np.array(held), sizes)], minlength=len(table))
+            pack = lambda x, t: pa.array([x.astype(t).tobytes()], pa.binary())
+            cols = [pa.array([now[0] << 20 | now[1]], pa.int64()), pa.array([ids], pa.list_(batch.column(0).type)), pa.array([held], pa.list_(pa.bool_())), pack(sizes, np.int32), pack(places, np.int32), pack(word_keys(list(table)), np.int64), pack(seen, np.int64)]
+            ids.clear(), held.clear(), parts.clear(), table.clear()
+            table.default_factory = count().__next__
+            return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for w in tokens(text):
-                    seen[w] = seen.get(w, 0) + 1
-                if len(seen) > 500_000:
+            texts = batch.column(1).cast(pa.binary())
+            for i in range(batch.num_rows):
+                shard = batch.column(3)[i].as_py()
+                if ids and (shard != now[0] or size > PART_BYTES):
                     yield out()
-        yield out()
+                    size, now = 0, (shard, now[1] + 1 if shard == now[0] else 0)
+                now = (shard, now[1] if shard == now[0] else 0)
+                text = texts[i].as_py()
+                words = tokens(text)
+                size += len(text or b"")
+                ids.append(batch.column(0)[i].as_py())
+                held.append(batch.column(2)[i].as_py())
+                parts.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
+        if ids:
+            yield out()
+
+    return dealt.select("doc_id", "text", "held", "shard").mapInArrow(work, f"unit long, doc_ids array<{kind}>, held array<boolean>, sizes binary, places binary, keys binary, counts binary")
+
 
-    return docs.select("text").mapInArrow(work, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+def words_of(units: DataFrame) -> DataFrame:
+    """(unit, key, c) of every distinct word of a part."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, keys, counts in zip(*[c.to_pylist() for c in batch.columns]):
+                k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+                for at in range(0, len(k), 100_000):
+                    some = k[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), unit)), pa.array(some), pa.array(c[at : at + 100_000])], names=["unit", "key", "c"])
+
+    return units.select("unit", "keys", "counts").mapInArrow(work, "unit long, key long, c long")
 
 
 class Lexicon:
@@ -100,25 +149,41 @@ class Lexicon:
         p = {name: rng.normal(0, 0.1, shape) for name, shape in SHAPES.items()}
         freq = np.full(FREQUENT, -30.0)
         freq[: len(self.count)] = np.log(self.count)
-        p["bw"] = freq.reshape(CLASSES, CLASS_WORDS).copy()
-        mass = np.concatenate([np.exp(freq).reshape(CLASSES, -1).sum(1), self.rare, [self.n_docs + 0.1]])
-        p["bc"] = np.log(mass + 1e-9)
+        inside = np.exp(freq).reshape(CLASSES, -1).sum(1)
+        p["bw"] = freq.reshape(CLASSES, CLASS_WORDS) - np.log(inside)[:, None]
+        mass = np.concatenate([inside, self.rare, [self.n_docs + 0.1]])
+        p["bc"] = np.log(mass / mass.sum() + 1e-30)
         p["Ww"] *= 0.3
         p["Wc"] *= 0.3
         return p
 
 
 def lexicon(counts: DataFrame, n_docs: int) -> Lexicon:
+    counts = counts.where("c > 0")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     top = [(r[0], r[1]) for r in counts.orderBy(F.desc("c"), "key").limit(FREQUENT).collect()]
     rare = np.full(RARE_CLASSES, 0.1)
-    for r in counts.groupBy(F.col("key").bitwiseAND(RARE_CLASSES - 1).alias("r")).agg(F.sum(F.col("c") + 0.1).alias("s")).collect():
-        rare[r["r"]] += r["s"]
+    for r in counts.groupBy(F.col("key").bitwiseAND(RARE_CLASSES - 1).alias("r")).agg(F.sum("c").alias("s"), F.count("*").alias("n")).collect():
+        rare[r["r"]] += r["s"] + 0.1 * r["n"]
     for k, c in top:
         rare[k & (RARE_CLASSES - 1)] -= c + 0.1
     return Lexicon(top, list(np.maximum(rare, 0.1)), (total["n"] or 0) + n_docs, total["v"] + (n_docs > 0), n_docs)
 
 
+def commonest(counts: DataFrame) -> DataFrame:
+    """(key, c) of the commonest words, BROADCAST at most: all of the grades (256 to a doubling of the count) that fit."""
+    graded = counts.where("c > 0").select("key", "c", F.floor(F.log2("c") * 256).cast("int").alias("g"))
+    # a few thousand grades
+    tally = graded.groupBy("g").agg(F.count("*").alias("n")).collect()
+    size, least = 0, 1 << 20
+    for r in sorted(tally, key=lambda r: -r["g"]):
+        size += r["n"]
+        if size > BROADCAST:
+            break
+        least = r["g"]
+    return graded.where(F.col("g") >= least).select("key", "c")
+
+
 def lanes(lengths: np.ndarray, n: int) -> list[list[int]]:
     """Documents dealt to lanes, the longest first, each to the shortest lane."""
     heap = [(0, k) for k in range(n)]
@@ -130,136 +195,190 @@ def lanes(lengths: np.ndarray, n: int) -> list[list[int]]:
     return [x for x in out if x]
 
 
-def pack(docs: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lane matrices (lane, step): document number (-1: none), token place in the flat array, first step of a document.
-
-    Every document has its tokens and the end, so a length is the tokens' number plus one.
-    """
-    lengths = np.array([len(d) for d in docs])
-    dealt = lanes(lengths, min(n, len(docs)))
-    width = max(sum(lengths[i] for i in lane) for lane in dealt)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    owner, place, first = np.full((len(dealt), width), -1, np.int32), np.zeros((len(dealt), width), np.int64), np.zeros((len(dealt), width), bool)
+def pack(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lane matrices (step, lane): document number (-1: none), place in the flat array of all steps, first step of a document."""
+    dealt = lanes(lengths, min(n, len(lengths)))
+    width = max(int(lengths[lane].sum()) for lane in dealt)
+    starts = np.cumsum(lengths) - lengths
+    owner, place, first = np.full((len(dealt), width), -1, np.int32), np.zeros((len(dealt), width), np.int32), np.zeros((len(dealt), width), bool)
     for k, lane in enumerate(dealt):
-        at = 0
-        for i in lane:
-            m = lengths[i]
-            owner[k, at : at + m], place[k, at : at + m], first[k, at] = i, np.arange(starts[i], starts[i + 1]), True
-            at += m
-    return owner, place, first
-
+        m = lengths[lane]
+        before, size = np.cumsum(m) - m, int(m.sum())
+        owner[k, :size] = np.repeat(lane, m)
+        place[k, :size] = np.arange(size) - np.repeat(before, m) + np.repeat(starts[lane], m)
+        first[k, before] = True
+    return tuple(np.ascontiguousarray(x.T) for x in (owner, place, first))
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
 
+def forward(p: dict, rows: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
+    """States (step, lane, hidden) of one window; rows (of G) and first are (step, lane). Gates take half of their argument's scale.
 
-def forward(p: dict, ids: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States (step, lane, hidden) of one window; ids and first are (lane, step)."""
-    n, steps = ids.shape
-    hs, cache = np.empty((steps, n, HIDDEN), h.dtype), []
+    With ``keep``, also the gates z and r, the candidate, its recurrent part and the state before each step.
+    """
+    steps, n = rows.shape
+    gx, hs = p["G"][rows], np.empty((steps, n, HIDDEN), h.dtype)
+    us, befores = (np.empty((steps, n, HIDDEN), h.dtype) for _ in range(2)) if keep else (None, None)
+    fresh, two = first.any(1), 2 * HIDDEN
     for t in range(steps):
-        fresh = first[:, t]
-        if fresh.any():
-            h = np.where(fresh[:, None], 0, h)
-        a, u = p["G"][ids[:, t]], h @ p["U"]
-        zr = sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN :]
-        c = np.tanh(a[:, 2 * HIDDEN :] + r * un)
+        if fresh[t]:
+            h = np.where(first[t][:, None], h.dtype.type(0), h)
+        a, u = gx[t], h @ p["U"]
+        zr, c = a[:, :two], a[:, two:]
+        zr += u[:, :two]
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
         if keep:
-            cache.append((h, z, r, un, c))
-        h = c + z * (h - c)
+            us[t], befores[t] = u[:, two:], h
+        c += zr[:, HIDDEN:] * u[:, two:]
+        np.tanh(c, out=c)
+        h = h - c
+        h *= zr[:, :HIDDEN]
+        h += c
         hs[t] = h
-    return hs, h, cache
+    return hs, h, (gx, us, befores)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def softmax_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(x), its sums, and x, by rows, x shifted by its maximum where that is needed to keep the sums finite."""
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+    total = e.sum(1)
+    if not (np.isfinite(total) & (total > 1e-30)).all():
+        x = x - x.max(1, keepdims=True)
+        e = np.exp(x)
+        total = e.sum(1)
+    return e, total, x
 
 
-def by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, positions) of the frequent classes that occur."""
-    order = np.argsort(classes, kind="stable")
-    cut = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if cut[k] < cut[k + 1]:
-            yield k, order[cut[k] : cut[k + 1]]
+class Frequent:
+    """Steps whose target is a frequent word, sorted by class: their scores inside the classes, in one block."""
+
+    def __init__(self, p: dict, h: np.ndarray, out_class: np.ndarray):
+        at = np.flatnonzero(out_class < CLASSES)
+        self.at = at[np.argsort(out_class[at].astype(np.uint8), kind="stable")]
+        cut = np.searchsorted(out_class[self.at], np.arange(CLASSES + 1))
+        self.parts = [(k, slice(cut[k], cut[k + 1])) for k in range(CLASSES) if cut[k] < cut[k + 1]]
+        self.h = h[self.at]
+        x = np.empty((len(self.at), CLASS_WORDS), self.h.dtype)
+        for k, part in self.parts:
+            np.matmul(self.h[part], p["Ww"][k], out=x[part], casting="same_kind")
+            x[part] += p["bw"][k]
+        self.x = x
 
 
 def word_log_probability(p: dict, h: np.ndarray, out_class: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """ln P of class and, for frequent words, of the word in its class."""
-    lp = np.take_along_axis(log_softmax(h @ p["Wc"] + p["bc"]), out_class[:, None], 1)[:, 0]
-    for k, at in by_class(out_class):
-        lp[at] += np.take_along_axis(log_softmax(h[at] @ p["Ww"][k] + p["bw"][k]), slot[at][:, None], 1)[:, 0]
+
+    def chosen(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        _, total, x = softmax_parts(x)
+        return x[np.arange(len(k)), k] - np.log(total)
+
+    x = h @ p["Wc"]
+    x += p["bc"]
+    lp = chosen(x, out_class)
+    f = Frequent(p, h, out_class)
+    lp[f.at] += chosen(f.x, slot[f.at])
     return lp
 
 
-def gradients(p: dict, ids, first, out_class, slot, live, h0):
-    """Mean loss, gradients and last state of one window, by backpropagation inside it."""
-    n, steps = ids.shape
-    hs, last, cache = forward(p, ids, first, h0, keep=True)
+def gradients(p: dict, rows, first, out_class, slot, live, h0):
+    """Mean loss, gradients and last state of one window (arrays are (step, lane)), by backpropagation inside it."""
+    steps, n = rows.shape
+    hs, last, cache = forward(p, rows, first, h0, keep=True)
     flat = hs.reshape(-1, HIDDEN)
-    oc, sl, w = out_class.T.ravel(), slot.T.ravel(), live.T.ravel().astype(REAL)
+    oc, sl, w = out_class.ravel(), slot.ravel(), live.ravel().astype(REAL)
     total = max(1.0, w.sum())
     g = {k: np.zeros(s, REAL) for k, s in SHAPES.items()}
-    lp = log_softmax(flat @ p["Wc"] + p["bc"])
-    d = np.exp(lp)
-    rows = np.arange(len(flat))
-    loss = -(lp[rows, oc] * w).sum()
-    d[rows, oc] -= 1
-    d *= (w / total)[:, None]
+    x = flat @ p["Wc"]
+    x += p["bc"]
+    d, sums, x = softmax_parts(x)
+    at = np.arange(len(flat))
+    loss = -((x[at, oc] - np.log(sums)) * w).sum()
+    d *= (w / sums / total)[:, None]
+    d[at, oc] -= w / total
     g["Wc"], g["bc"] = flat.T @ d, d.sum(0)
     dh_out = d @ p["Wc"].T
-    for k, at in by_class(np.where(w > 0, oc, END_CLASS)):
-        lw = log_softmax(flat[at] @ p["Ww"][k] + p["bw"][k])
-        e = np.exp(lw)
-        m = np.arange(len(at))
-        loss -= (lw[m, sl[at]] * w[at]).sum()
-        e[m, sl[at]] -= 1
-        e *= (w[at] / total)[:, None]
-        g["Ww"][k], g["bw"][k] = flat[at].T @ e, e.sum(0)
-        dh_out[at] += e @ p["Ww"][k].T
+    f = Frequent(p, flat, np.where(w > 0, oc, END_CLASS))
+    e, sums, x = softmax_parts(f.x)
+    m, wk, sk = np.arange(len(f.at)), w[f.at], sl[f.at]
+    loss -= ((x[m, sk] - np.log(sums)) * wk).sum()
+    e *= (wk / sums / total)[:, None]
+    e[m, sk] -= wk / total
+    back = np.empty_like(f.h)
+    for k, part in f.parts:
+        g["Ww"][k], g["bw"][k] = f.h[part].T @ e[part], e[part].sum(0)
+        np.matmul(e[part], p["Ww"][k].T, out=back[part])
+    dh_out[f.at] += back
     dh_out = dh_out.reshape(steps, n, HIDDEN)
-    dh, das = np.zeros((n, HIDDEN), REAL), np.empty((steps, n, 3 * HIDDEN), REAL)
+    gx, us, befores = cache
+    z, r, c = gx[..., :HIDDEN], gx[..., HIDDEN : 2 * HIDDEN], gx[..., 2 * HIDDEN :]
+    # what does not depend on later steps, for all steps at once; the gates' argument is halved, so their slope is twice s (1 - s)
+    to_z = befores - c
+    to_z *= 2 * z * (1 - z)
+    to_c = 1 - c * c
+    to_c *= 1 - z
+    to_r = 2 * r * (1 - r)
+    to_r *= us
+    das, dus = np.empty((steps, n, 3 * HIDDEN), REAL), np.empty((steps, n, HIDDEN), REAL)
+    dh, fresh = np.zeros((n, HIDDEN), REAL), first.any(1)
+    back, back_c = np.ascontiguousarray(p["U"][:, : 2 * HIDDEN].T), np.ascontiguousarray(p["U"][:, 2 * HIDDEN :].T)
     for t in range(steps - 1, -1, -1):
-        h, z, r, un, c = cache[t]
-        dh = dh + dh_out[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (h - c) * z * (1 - z)
-        dr = dc * un * r * (1 - r)
-        du = np.concatenate([dz, dr, dc * r], axis=1)
-        das[t] = np.concatenate([dz, dr, dc], axis=1)
-        g["U"] += h.T @ du
-        dh = dh * z + du @ p["U"].T
-        dh[first[:, t]] = 0
-    flat_ids = ids.T.ravel()
-    order = np.argsort(flat_ids, kind="stable")
-    ranked = flat_ids[order]
+        dh += dh_out[t]
+        da, dc = das[t], das[t, :, 2 * HIDDEN :]
+        np.multiply(dh, to_z[t], out=da[:, :HIDDEN])
+        np.multiply(dh, to_c[t], out=dc)
+        np.multiply(dc, to_r[t], out=da[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(dc, r[t], out=dus[t])
+        dh *= z[t]
+        dh += da[:, : 2 * HIDDEN] @ back
+        dh += dus[t] @ back_c
+        if fresh[t]:
+            dh[first[t]] = 0
+    before, flat_da = befores.reshape(-1, HIDDEN).T, das.reshape(-1, 3 * HIDDEN)
+    g["U"] = np.concatenate([before @ flat_da[:, : 2 * HIDDEN], before @ dus.reshape(-1, HIDDEN)], axis=1)
+    flat_rows = rows.ravel()
+    order = np.argsort(flat_rows.astype(np.uint16), kind="stable")
+    ranked = flat_rows[order]
     starts = np.concatenate([[0], np.flatnonzero(np.diff(ranked)) + 1])
-    g["G"][ranked[starts]] = np.add.reduceat(das.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+    g["G"][ranked[starts]] = np.add.reduceat(flat_da[order], starts, axis=0)
     return loss / total, g, last
 
 
-def train(p: dict, docs: list[np.ndarray], outs: list[tuple[np.ndarray, np.ndarray]]) -> dict:
-    """One pass over the documents (input ids; class and slot of each target) with Adam."""
+def train(p: dict, rows: np.ndarray, first: np.ndarray, out_class: np.ndarray, slot: np.ndarray) -> dict:
+    """One pass over a stream of steps (input row; whether a document begins; class and slot of the target) with Adam.
+
+    The stream is cut into lanes of equal length, fewer where that leaves under ``LEAST_STEPS`` windows; state is carried along a lane and is zero where a document begins.
+    """
     p = {k: v.astype(REAL) for k, v in p.items()}
-    owner, place, first = pack(docs, LANES)
-    ids, oc, sl = np.concatenate(docs)[place], np.concatenate([o[0] for o in outs])[place], np.concatenate([o[1] for o in outs])[place]
-    live = owner >= 0
+    n = max(1, min(LANES, max(8, len(rows) // (WINDOW * LEAST_STEPS)), len(rows) // WINDOW))
+    width = -(-len(rows) // n)
+    pad = n * width - len(rows)
+    lay = lambda x, fill: np.ascontiguousarray(np.concatenate([x, np.full(pad, fill, x.dtype)]).reshape(n, width).T)
+    live = lay(np.ones(len(rows), bool), False)
+    rows, first, out_class, slot = lay(rows, 0), lay(first, False), lay(out_class, END_CLASS), lay(slot, 0)
     m, v, step = {k: np.zeros(s, REAL) for k, s in SHAPES.items()}, {k: np.zeros(s, REAL) for k, s in SHAPES.items()}, 0
-    h = np.zeros((len(ids), HIDDEN), REAL)
-    for at in range(0, ids.shape[1], WINDOW):
+    h = np.zeros((n, HIDDEN), REAL)
+    for at in range(0, width, WINDOW):
         w = slice(at, at + WINDOW)
-        if live[:, w].sum() < 8:
-            continue
-        _, g, h = gradients(p, ids[:, w], first[:, w], oc[:, w], sl[:, w], live[:, w], h)
+        _, g, h = gradients(p, rows[w], first[w], out_class[w], slot[w], live[w], h)
         norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
         scale, step = REAL(min(1.0, 1.0 / (norm + 1e-12))), step + 1
+        rate, fix = REAL(RATE / (1 - 0.9**step)), REAL(1 / (1 - 0.99**step))
         for k in SHAPES:
-            x = g[k] * scale
-            m[k] += REAL(0.1) * (x - m[k])
-            v[k] += REAL(0.01) * (x * x - v[k])
-            p[k] -= REAL(RATE / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] * REAL(1 / (1 - 0.99**step))) + REAL(1e-6))
+            x = g[k]
+            x *= scale
+            m[k] *= REAL(0.9)
+            m[k] += REAL(0.1) * x
+            x *= x
+            v[k] *= REAL(0.99)
+            v[k] += REAL(0.01) * x
+            np.multiply(v[k], fix, out=x)
+            np.sqrt(x, out=x)
+            x += REAL(1e-6)
+            np.divide(m[k], x, out=x)
+            x *= rate
+            p[k] -= x
     return p
 
 
@@ -291,162 +410,146 @@ def codes(keys: np.ndarray, lex: Lexicon) -> np.ndarray:
     return np.stack([np.where(common, row, FREQUENT + rare), np.where(common, row // CLASS_WORDS, CLASSES + rare), np.where(common, row % CLASS_WORDS, 0)], axis=1).astype(np.int32)
 
 
-def unigrams(keys: np.ndarray, lex: Lexicon, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(base log10 probability, log10 share in its rare class or 0, whether trained on) of each key; ``known`` is sorted."""
-    at, there = find(known, keys)
-    c = np.where(there, counts[at] if len(counts) else 0, 0).astype(float)
+def unigrams(keys: np.ndarray, lex: Lexicon, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base log10 probability, log10 share in its rare class or 0, whether trained on) of each key, from its count."""
     _, common = find(lex.keys, keys)
-    inside = np.where(common, 0.0, np.log10((c + 0.1) / lex.rare[keys & (RARE_CLASSES - 1)]))
-    return np.log10(c + 0.1) - lex.base_floor, inside, c > 0
-
-
-class WordTable:
-    """Words met in a task as places in an array of keys, so that a text becomes one array of places."""
-
-    def __init__(self, most: int = 500_000):
-        self.most = most
-        self.place: dict[bytes, int] = {}
-        self.keys = array("q")
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        get = self.place.get
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            for i, k in enumerate(out):
-                if k < 0:
-                    w = words[i]
-                    if w not in self.place:
-                        self.place[w] = len(self.keys)
-                        self.keys.append(word_key(w))
-                    out[i] = self.place[w]
-        return np.array(out, np.int64)
-
-    def array(self) -> np.ndarray:
-        return np.array(self.keys, np.int64)
-
-    def trim(self) -> None:
-        """Called between batches: places already handed out must stay valid within one."""
-        if len(self.keys) > self.most:
-            self.place.clear()
-            self.keys = array("q")
-
-
-def fit_network(training: DataFrame, lex: Lexicon) -> dict:
-    """Train in every task on its training documents; average the parameters by tokens."""
+    base = np.log10(counts + 0.1)
+    return base - lex.base_floor, np.where(common, 0.0, base - np.log10(lex.rare[keys & (RARE_CLASSES - 1)])), counts > 0
+
+
+class Part:
+    """The documents of a part of a shard as arrays."""
+
+    def __init__(self, held: list[bool], sizes: bytes, places: bytes, keys: bytes):
+        self.held, self.sizes = np.array(held, bool), np.frombuffer(sizes, np.int32).astype(np.int64)
+        self.places, self.keys = np.frombuffer(places, np.int32), np.frombuffer(keys, np.int64)
+
+    def steps(self, lex: Lexicon, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(input row; whether a document begins; class and slot of the target) of each step of documents ``docs`` (a mask): words, then the end."""
+        code = codes(self.keys, lex)
+        sizes = self.sizes[docs]
+        words = code[self.places[np.repeat(docs, self.sizes)]]
+        last = np.cumsum(sizes + 1) - 1
+        first, is_word = np.zeros(int((sizes + 1).sum()), bool), np.ones(int((sizes + 1).sum()), bool)
+        first[last - sizes], is_word[last] = True, False
+        rows, kind, slot = np.empty(len(first), np.int32), np.full(len(first), END_CLASS, np.int32), np.zeros(len(first), np.int32)
+        kind[is_word], slot[is_word] = words[:, 1], words[:, 2]
+        after = np.flatnonzero(is_word) + 1
+        rows[after], rows[first] = words[:, 0], INPUTS - 1
+        return rows, first, kind, slot
+
+
+def fit_network(units: DataFrame, lex: Lexicon) -> dict:
+    """Train in every part of a shard on its training documents; average the parameters by tokens."""
     start = lex.start()
-    picked = training.select("text", F.spark_partition_id().alias("part"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable()
-        p, seen, pending, part = start, 0, [], 0
-
-        def learn() -> None:
-            nonlocal p, seen
-            at = [table.places(tokens(text)) for text in pending]
-            x = codes(table.array(), lex).astype(np.int64)
-            docs_ = [np.concatenate([[INPUTS - 1], x[k, 0]]) for k in at]
-            outs = [(np.concatenate([x[k, 1], [END_CLASS]]), np.concatenate([x[k, 2], [0]])) for k in at]
-            seen += sum(len(k) + 1 for k in at)
-            table.trim()
-            if docs_:
-                p = train(p, docs_, outs)
-            pending.clear()
-
-        size = 0
         for batch in batches:
-            for text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pending.append(text)
-                size += len(text or "")
-                if size > 4_000_000:
-                    learn()
-                    size = 0
-        learn()
-        if seen:
-            x = flatten(p) * seen
-            k = range(0, len(x), PART)
-            yield pa.RecordBatch.from_arrays([pa.array([a // PART for a in k], pa.int32()), pa.array([part % 64] * len(k), pa.int32()), pa.array([float(seen)] * len(k)), pa.array([x[a : a + PART] for a in k], pa.list_(pa.float64()))], names=["block", "salt", "w", "x"])
+            for i in range(batch.num_rows):
+                unit, *row = [c[i].as_py() for c in batch.columns]
+                part = Part(*row)
+                if part.held.all():
+                    continue
+                steps = part.steps(lex, ~part.held)
+                seen = float(len(steps[0]))
+                x = flatten(train(start, *steps)).astype(float) * seen
+                k = range(0, len(x), PART)
+                yield pa.RecordBatch.from_arrays([pa.array([a // PART for a in k], pa.int32()), pa.array([unit] * len(k), pa.int64()), pa.array([seen] * len(k)), pa.array([x[a : a + PART] for a in k], pa.list_(pa.float64()))], names=["block", "unit", "w", "x"])
 
     def total(t: pa.Table) -> pa.Table:
-        x = np.sum(np.array(t.column("x").to_pylist()), axis=0)
-        return pa.table([t.column("block").slice(0, 1), t.column("salt").slice(0, 1), pa.array([float(np.sum(t.column("w").to_numpy()))]), pa.array([x], pa.list_(pa.float64()))], names=["block", "salt", "w", "x"])
-
-    schema = "block int, salt int, w double, x array<double>"
-    parts = picked.mapInArrow(work, schema).groupBy("block", "salt").applyInArrow(total, schema).groupBy("block").applyInArrow(total, schema)
+        t = t.sort_by("unit")
+        x = np.cumsum(np.array(t.column("x").to_pylist()), axis=0)[-1]
+        return pa.table([t.column("block").slice(0, 1), t.column("unit").slice(0, 1), pa.array([float(np.cumsum(t.column("w").to_numpy())[-1])]), pa.array([x], pa.list_(pa.float64()))], names=["block", "unit", "w", "x"])
+
+    schema = "block int, unit long, w double, x array<double>"
+    trained = units.select("unit", "held", "sizes", "places", "keys").mapInArrow(work, schema)
+    # hundreds are summed at a time, so a sum holds a bounded number of vectors for up to a hundred thousand shards
+    parts = trained.groupBy("block", F.shiftright("unit", 28)).applyInArrow(lambda t: total(t), schema).groupBy("block").applyInArrow(lambda t: total(t), schema)
     # as many rows as the network has blocks of parameters
     rows = sorted(parts.collect(), key=lambda r: r["block"])
     return unflatten(np.concatenate([np.array(r["x"]) / r["w"] for r in rows])) if rows else start
 
 
-def score_documents(p: dict, lex: Lexicon, texts: list[str | None], table: WordTable, known: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float, float]]:
-    """(n_tokens, n_known, base score, score) of each text; ``known`` (sorted keys) and ``counts`` are what training counted."""
+def score_part(p: dict, lex: Lexicon, part: Part, totals: np.ndarray) -> list[np.ndarray]:
+    """n_tokens, n_known, base score and score of each document; ``totals`` are the words' counts in all training documents."""
+    n = len(part.sizes)
+    owner = np.repeat(np.arange(n), part.sizes)
+    base, inside, known = unigrams(part.keys, lex, totals)
+    sums = lambda x: np.bincount(owner, x[part.places].astype(float), n)
+    rows, _, kind, slot = part.steps(lex, np.ones(n, bool))
     end_base = math.log10(lex.n_docs + 0.1) - lex.base_floor
-    at = [table.places(tokens(text)) for text in texts]
-    codes_ = codes(table.array(), lex)
-    base, inside, is_known = unigrams(table.array(), lex, known, counts)
-    ins = [np.concatenate([[INPUTS - 1], codes_[k, 0]]).astype(np.int32) for k in at]
-    outs = [(np.concatenate([codes_[k, 1], [END_CLASS]]), np.concatenate([codes_[k, 2], [0]])) for k in at]
-    stats = [(len(k) + 1, int(is_known[k].sum()) + (lex.n_docs > 0), float(base[k].sum()) + end_base, float(inside[k].sum())) for k in at]
-    owner, place, first = pack(ins, SCORE_LANES)
-    flat_in, flat_c, flat_s = np.concatenate(ins), np.concatenate([o[0] for o in outs]), np.concatenate([o[1] for o in outs])
-    sums = np.zeros(len(texts))
-    h = np.zeros((len(owner), HIDDEN), np.float32)
-    ends = (owner >= 0).sum(1)
+    lp = np.zeros(n)
+    who, place, first = pack(part.sizes + 1, SCORE_LANES)
+    h = np.zeros((who.shape[1], HIDDEN), np.float32)
+    ends = (who >= 0).sum(0)
     order = np.argsort(-ends, kind="stable")
-    owner, place, first, ends = owner[order], place[order], first[order], ends[order]
-    for at in range(0, owner.shape[1], 2 * WINDOW):
-        n = int((ends > at).sum())
-        if not n:
-            break
+    who, place, first, ends = who[:, order], place[:, order], first[:, order], ends[order]
+    for at in range(0, len(who), 2 * WINDOW):
+        k = int((ends > at).sum())
         w = slice(at, at + 2 * WINDOW)
-        own = owner[:n, w]
-        hs, h, _ = forward(p, flat_in[place[:n, w]], first[:n, w], h[:n])
-        live = (own >= 0).T.ravel()
-        spot = place[:n, w].T.ravel()[live]
-        lp = word_log_probability(p, hs.reshape(-1, HIDDEN)[live], flat_c[spot], flat_s[spot])
-        sums += np.bincount(own.T.ravel()[live], lp.astype(float), len(texts))
-    return [(a, b, c, float(s) / math.log(10) + r) for (a, b, c, r), s in zip(stats, sums)]
+        hs, h, _ = forward(p, rows[place[w, :k]], first[w, :k], h[:k])
+        own = who[w, :k].ravel()
+        live = own >= 0
+        spot = place[w, :k].ravel()[live]
+        got = word_log_probability(p, hs.reshape(-1, HIDDEN)[live], kind[spot], slot[spot])
+        lp += np.bincount(own[live], got.astype(float), n)
+    return [part.sizes + 1, sums(known).astype(np.int64) + (lex.n_docs > 0), sums(base) + end_base, lp / math.log(10) + sums(inside)]
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
-    training = texts.where(~held_out(F.col("doc_id")))
-    counts = staged(count_words(training), "word-counts")
-    n_docs = training.select("doc_id").count()
+    n_shards = max(1, math.ceil((docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) / SHARD_BYTES))
+    with small_batches(spark):
+        units = staged(shards(docs, n_shards), "shards")
+    words = words_of(units).repartition("key")
+    counts = staged(words.groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("parts")), "word-counts")
+    n_docs = docs.where(~held_out(F.col("doc_id"))).select("doc_id").count()
     lex = lexicon(counts, n_docs)
-    network = fit_network(training, lex)
-    known = spark.sparkContext.broadcast((lex, {k: v.astype(np.float32) for k, v in network.items()}))
-    width = shuffle_width(spark)
-    dealt = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(width)).cast("int").alias("bucket")).repartition(width, "bucket")
+    network = fit_network(units, lex)
+    common = commonest(counts.where("parts > 1")).toPandas().sort_values("key")
+    known = spark.sparkContext.broadcast((lex, {k: v.astype(np.float32) for k, v in network.items()}, common["key"].to_numpy(), common["c"].to_numpy()))
+    few = spark.createDataFrame(common[["key"]], "key long") if len(common) else None
+    # what a part cannot know by itself: totals of words that others have too
+    others = counts.where("parts > 1").select("key", F.col("c").alias("total"))
+    others = others.join(F.broadcast(few), "key", "left_anti") if few is not None else others
+    fetched = words.join(others, "key").where("c != total").select("unit", "key", "total")
+
+    def packed(t: pa.Table) -> pa.Table:
+        keys, values = sorted_pairs(t)
+        return pa.table([t.column("unit").slice(0, 1), pa.array([keys.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["unit", "keys", "counts"])
+
+    # a part of a shard holds a bounded number of words; its totals come before it
+    sent = fetched.groupBy("unit").applyInArrow(packed, "unit long, keys binary, counts binary")
+    both = sent.withColumn("kind", F.lit(0)).unionByName(units.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    names = ["kind", "unit", "doc_ids", "held", "sizes", "places", "keys", "counts"]
 
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[bytes]] = {}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, p, common_keys, common_counts = known.value
+        own = (-1, np.empty(0, np.int64), np.empty(0, np.int64))
         for batch in batches:
-            for text, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                seen.setdefault(b, set()).update(tokens(text))
-        for b, ws in seen.items():
-            keys = np.unique(np.array([word_key(w) for w in ws], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b, np.int32)), pa.array(keys)], names=["bucket", "key"])
-
-    wanted = dealt.mapInArrow(distinct_words, "bucket int, key long")
-    fetched = wanted.join(counts, "key").select("bucket", "key", "c")
-
-    def work(d: pa.Table, words: pa.Table) -> pa.Table:
-        lex, p = known.value
-        keys, counts = words.column("key").to_numpy(), words.column("c").to_numpy()
-        order = np.argsort(keys)
-        keys, counts, table = keys[order], counts[order], WordTable()
-        rows: list[tuple] = []
-        text = d.column("text")
-        sizes = np.cumsum(np.array(pa.compute.fill_null(pa.compute.utf8_length(text), 0)))
-        cuts = [0, *(np.flatnonzero(np.diff(sizes // 8_000_000)) + 1).tolist(), d.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                rows += score_documents(p, lex, text.slice(a, b - a).to_pylist(), table, keys, counts)
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([d.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = dealt.groupBy("bucket").cogroup(fetched.groupBy("bucket")).applyInArrow(work, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(lex.n).cast("long").alias("train_tokens"), "base_score", "score")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                get = lambda c: row.column(names.index(c))[0]  # noqa: E731, B023
+                keys, counts_ = (np.frombuffer(get(c).as_py(), np.int64) for c in ("keys", "counts"))
+                if get("kind").as_py() == 0:
+                    own = get("unit").as_py(), keys, counts_
+                    continue
+                part = Part(*[get(c).as_py() for c in ("held", "sizes", "places", "keys")])
+                totals = counts_.copy()
+                for k, values in ((common_keys, common_counts), own[1:] if own[0] == get("unit").as_py() else ((), ())):
+                    at, there = find(k, part.keys)
+                    totals[there] = values[at[there]] if len(values) else 0
+                cols = score_part(p, lex, part, totals)
+                yield pa.RecordBatch.from_arrays([get("doc_ids").values, pa.array(part.held), *map(pa.array, cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    dealt = both.withColumn("shard", F.shiftright("unit", 20).cast("int")).repartitionById(min(n_shards, MOST_PARTITIONS), "shard").sortWithinPartitions("unit", "kind")
+    scored = dealt.select(*names).mapInArrow(work, schema)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lex.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def sorted_pairs(words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = words.column("key").to_numpy(), words.column("total").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
