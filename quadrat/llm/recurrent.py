@@ -196,18 +196,18 @@ def lanes(lengths: np.ndarray, n: int) -> list[list[int]]:
 
 
 def pack(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lane matrices (step, lane): document number (-1: none), place in the flat array of all steps, first step of a document."""
-    dealt = lanes(lengths, min(n, len(lengths)))
-    width = max(int(lengths[lane].sum()) for lane in dealt)
+    """Lane matrices (step, lane), the longest lane first: document number (-1: none), place in the flat array of all steps, first step of a document."""
+    dealt = sorted(lanes(lengths, min(n, len(lengths))), key=lambda lane: -int(lengths[lane].sum()))
+    width = int(lengths[dealt[0]].sum())
     starts = np.cumsum(lengths) - lengths
-    owner, place, first = np.full((len(dealt), width), -1, np.int32), np.zeros((len(dealt), width), np.int32), np.zeros((len(dealt), width), bool)
+    owner, place, first = np.full((width, len(dealt)), -1, np.int32), np.zeros((width, len(dealt)), np.int32), np.zeros((width, len(dealt)), bool)
     for k, lane in enumerate(dealt):
         m = lengths[lane]
         before, size = np.cumsum(m) - m, int(m.sum())
-        owner[k, :size] = np.repeat(lane, m)
-        place[k, :size] = np.arange(size) - np.repeat(before, m) + np.repeat(starts[lane], m)
-        first[k, before] = True
-    return tuple(np.ascontiguousarray(x.T) for x in (owner, place, first))
+        owner[:size, k] = np.repeat(lane, m)
+        place[:size, k] = np.arange(size) - np.repeat(before, m) + np.repeat(starts[lane], m)
+        first[before, k] = True
+    return owner, place, first
 
 
 def forward(p: dict, rows: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
@@ -426,16 +426,17 @@ class Part:
 
     def steps(self, lex: Lexicon, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(input row; whether a document begins; class and slot of the target) of each step of documents ``docs`` (a mask): words, then the end."""
-        code = codes(self.keys, lex)
+        # one or two bytes a step and number
+        row, kind_, slot_ = (c.astype(t) for c, t in zip(codes(self.keys, lex).T, (np.uint16, np.uint8, np.uint8)))
         sizes = self.sizes[docs]
-        words = code[self.places[np.repeat(docs, self.sizes)]]
+        places = self.places if docs.all() else self.places[np.repeat(docs, self.sizes)]
         last = np.cumsum(sizes + 1) - 1
-        first, is_word = np.zeros(int((sizes + 1).sum()), bool), np.ones(int((sizes + 1).sum()), bool)
+        n = len(places) + len(sizes)
+        first, is_word = np.zeros(n, bool), np.ones(n, bool)
         first[last - sizes], is_word[last] = True, False
-        rows, kind, slot = np.empty(len(first), np.int32), np.full(len(first), END_CLASS, np.int32), np.zeros(len(first), np.int32)
-        kind[is_word], slot[is_word] = words[:, 1], words[:, 2]
-        after = np.flatnonzero(is_word) + 1
-        rows[after], rows[first] = words[:, 0], INPUTS - 1
+        rows, kind, slot = np.empty(n, np.uint16), np.full(n, END_CLASS, np.uint8), np.zeros(n, np.uint8)
+        kind[is_word], slot[is_word] = kind_[places], slot_[places]
+        rows[~first], rows[first] = row[places], INPUTS - 1
         return rows, first, kind, slot
 
 
@@ -482,8 +483,6 @@ def score_part(p: dict, lex: Lexicon, part: Part, totals: np.ndarray) -> list[np
     who, place, first = pack(part.sizes + 1, SCORE_LANES)
     h = np.zeros((who.shape[1], HIDDEN), np.float32)
     ends = (who >= 0).sum(0)
-    order = np.argsort(-ends, kind="stable")
-    who, place, first, ends = who[:, order], place[:, order], first[:, order], ends[order]
     for at in range(0, len(who), 2 * WINDOW):
         k = int((ends > at).sum())
         w = slice(at, at + 2 * WINDOW)
