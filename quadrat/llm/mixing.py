@@ -8,8 +8,11 @@ squared gaps between expected domain token totals and targets. Each step is one
 three sums; a document's rate is a function of its posteriors and the gradients so far, so nothing but
 those sums reaches the driver. All of it is DataFrame and SQL code.
 
-Targets: the weights, scaled so that the first domain keeps all its expected tokens. Rates lie between 0 and ``MOST``. Rates within
-``SLACK`` of 1 give exactly one copy; others are rounded up or down by a hash of doc_id and text.
+Targets: the weights, scaled so that the first domain keeps all its expected tokens. Rates are 0 or more and have no
+upper bound. Rates that come within ``SLACK`` of 1 are held at 1, so most documents stay as they are, and
+the rates of all others are fitted again to what the held ones leave of the targets. Rates are rounded
+up or down to copies by a hash of doc_id and text, so copies meet the targets but for that rounding. A domain without
+documents that can be repeated misses its target; ``mixing_totals`` shows what is reached.
 
 Defined cases: a null text has no words, 0 tokens and is judged by its features like any text; labels
 with nulls are ignored, repeated labels count once each; without labels the posteriors are uniform; an
@@ -32,8 +35,10 @@ WEIGHTS = (0.98, 0.02, 0.0)
 LEXICON_DOCS, LEXICON_WORDS, LEAST_RATIO = 8000, 64, 25
 #: Share of a lexicon word's documents that are of its domain, at least.
 PURITY = 0.9
-#: Steps, share of all tokens that a gap may keep, distance from 1 that counts as 1, damping, largest rate.
-STEPS, TOLERANCE, SLACK, DAMP, MOST = 40, 1e-4, 0.1, 0.01, 4.0
+#: Steps of each fit, share of all tokens that a gap may keep, distance from 1 that is held at 1, damping of the inverse Gram matrix.
+STEPS, TOLERANCE, SLACK, DAMP = 24, 1e-4, 0.1, 1e-6
+#: What a step must bring the squared gaps down to, and the share of a step below which no smaller one is tried.
+GAIN, LEAST_SCALE = 0.99, 0.1
 BINS = 12
 
 
@@ -126,41 +131,91 @@ def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return staged(rows.select("doc_id", "_k", "tokens", posterior(rows, labels).alias("p")), "memberships")
 
 
-def rate(p: Column, gradients: list[list[float]]) -> Column:
-    """The rate after these projected steps from 1."""
-    if not gradients:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*map(F.lit, g)) for g in gradients])
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), F.least(F.lit(MOST), r - sum((F.get(g, d) * F.get(p, d) for d in range(len(DOMAINS))), F.lit(0.0)))))
+Steps = list[list[float]]
 
 
-def fit_rates(members: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> list[list[float]]:
-    """The scaled gradients of the projected descent; ``rate`` replays them."""
+def replay(p: Column, start: Column, steps: Steps) -> Column:
+    """The rate after these projected steps."""
+    if not steps:
+        return start
+    all_ = F.array(*[F.array(*map(F.lit, g)) for g in steps])
+    return F.aggregate(all_, start, lambda r, g: F.greatest(F.lit(0.0), r - sum((F.get(g, d) * F.get(p, d) for d in range(len(DOMAINS))), F.lit(0.0))))
+
+
+def rate(p: Column, fits: tuple[Steps, Steps]) -> Column:
+    """Rates of the first fit; those near 1 are 1, the others go on with the second."""
+    first = replay(p, F.lit(1.0), fits[0])
+    return F.when(F.abs(first - 1) <= SLACK, 1.0).otherwise(replay(p, first, fits[1]))
+
+
+def totals(members: DataFrame, r: Column, d_n: int) -> list[float]:
+    """Expected tokens of each domain at these rates."""
+    row = members.agg(*[F.sum(F.col("tokens") * F.get("p", d) * r).alias(f"s{d}") for d in range(d_n)]).first()
+    return [row[f"s{d}"] or 0.0 for d in range(d_n)]
+
+
+def descend(members: DataFrame, start: Column, target: list[float], held: list[float]) -> Steps:
+    """Projected steps from ``start`` that bring totals plus ``held`` to ``target``.
+
+    One pass a step sums the totals and the Gram matrix of the memberships of documents whose rate is not 0; gaps are
+    weighted by its damped inverse, and a step that does not shrink the gaps is halved.
+    """
+    d_n = len(target)
+    pairs = [(a, b) for a in range(d_n) for b in range(a, d_n)]
+    m = lambda d: F.get("p", d)
+
+    def look(steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+        now = members.select("p", "tokens", replay(F.col("p"), start, steps).alias("r"))
+        live = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+        row = now.agg(*[F.sum(F.col("tokens") * m(d) * F.col("r")) for d in range(d_n)], *[F.sum(live * m(a) * m(b)) for a, b in pairs]).first()
+        gram = np.zeros((d_n, d_n))
+        for (a, b), x in zip(pairs, row[d_n:]):
+            gram[a, b] = gram[b, a] = x or 0.0
+        return np.array([x or 0.0 for x in row[:d_n]]) + held - target, gram
+
+    steps: Steps = []
+    (gap, gram), scale = look(steps), 1.0
+    for _ in range(STEPS):
+        if np.abs(gap).max() <= TOLERANCE * sum(target) or not np.trace(gram) or scale < LEAST_SCALE:
+            break
+        trial = [*steps, [float(x) for x in scale * np.linalg.solve(gram + DAMP * np.trace(gram) * np.eye(d_n), gap)]]
+        after, gram_after = look(trial)
+        if after @ after < GAIN * (gap @ gap):
+            steps, gap, gram, scale = trial, after, gram_after, 1.0
+        else:
+            scale /= 2
+    return steps
+
+
+def fit_rates(members: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> tuple[Steps, Steps]:
+    """The scaled gradients of both descents; ``rate`` replays them.
+
+    A rate follows from the posteriors alone, so documents with equal ones are summed first and all steps run over these sums.
+    """
     d_n = len(weights)
-    t = lambda d: F.col("tokens") * F.get("p", d)
-    gram = members.agg(*[F.sum(t(a) * F.get("p", b)).alias(f"g{a}_{b}") for a in range(d_n) for b in range(d_n)], *[F.sum(t(d)).alias(f"s{d}") for d in range(d_n)]).first()
-    s = [gram[f"s{d}"] or 0.0 for d in range(d_n)]
+    members = staged(members.groupBy("p").agg(F.sum("tokens").alias("tokens")), "membership-sums")
+    s = totals(members, F.lit(1.0), d_n)
     if not sum(s) or not weights[0]:
-        return []
+        return [], []
     target = [s[0] / weights[0] * w for w in weights]
-    # residuals are weighted by the damped inverse Gram matrix of the memberships: full steps never overshoot
-    g = np.array([[gram[f"g{a}_{b}"] for b in range(d_n)] for a in range(d_n)])
-    weight = np.linalg.inv(g + DAMP * np.trace(g) * np.eye(d_n))
-    past: list[list[float]] = []
-    loss = math.inf
-    for _ in range(STEPS):
-        now = members.agg(*[F.sum(t(d) * rate(F.col("p"), past)).alias(f"s{d}") for d in range(d_n)]).first() if past else s
-        gap = [now[d] - target[d] for d in range(d_n)]
-        was, loss = loss, float(np.array(gap) @ weight @ np.array(gap))
-        if max(map(abs, gap)) <= TOLERANCE * sum(target) or loss > 0.99 * was:
-            break
-        past.append([float(x) for x in weight @ np.array(gap)])
-    return past
+    first = descend(members, F.lit(1.0), target, [0.0] * d_n)
+    now = replay(F.col("p"), F.lit(1.0), first)
+    near = F.abs(now - 1) <= SLACK
+    return first, descend(members.where(~near), now, target, totals(members.where(near), F.lit(1.0), d_n))
 
 
 def copies(r: Column, doc_id: Column, key: Column) -> Column:
     u = F.pmod(F.xxhash64(doc_id, key, F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
-    return F.when(F.abs(r - 1) <= SLACK, 1).otherwise(F.floor(r + u)).cast("int")
+    return F.floor(r + u).cast("int")
+
+
+def mixing_totals(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """domain, target, expected (at the rates) and copied (after rounding) tokens."""
+    members = memberships(docs, labels)
+    r = rate(F.col("p"), fit_rates(members, weights))
+    s, e, c = totals(members, F.lit(1.0), len(weights)), totals(members, r, len(weights)), totals(members, copies(r, F.col("doc_id"), F.col("_k")), len(weights))
+    rows = [(DOMAINS[d], s[0] / weights[0] * w, e[d], c[d]) for d, w in enumerate(weights)]
+    return docs.sparkSession.createDataFrame(rows, "domain string, target double, expected double, copied double")
 
 
 def mixing_report(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -176,7 +231,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS
     r = rate(F.col("p"), fit_rates(members, weights))
     # rows that stay as they are need no decision, so only the others are matched
     odd = members.select(F.col("doc_id").alias("_qd"), F.col("_k").alias("_qk"), copies(r, F.col("doc_id"), F.col("_k")).alias("_qc")).where("_qc != 1").distinct()
-    joined = docs.join(odd, docs.doc_id.eqNullSafe(F.col("_qd")) & (F.xxhash64(docs.text) == F.col("_qk")), "left")
-    times = F.coalesce("_qc", F.lit(1))
+    joined = docs.join(odd, docs.doc_id.eqNullSafe(odd._qd) & (F.xxhash64(docs.text) == odd._qk), "left")
+    times = F.coalesce(odd._qc, F.lit(1))
     more = joined.where(times > 0)
-    return more.withColumn("_qr", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    # the row travels whole, so that no column of its own can clash
+    return more.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
