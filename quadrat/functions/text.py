@@ -18,9 +18,17 @@ def tokens(c: Column, least: int = 3, stop: Iterable[str] = STOP_WORDS) -> Colum
     return F.filter(found, lambda w: ~w.isin(*stop))
 
 
+def bound(items: Column, make) -> Column:
+    """``make(items)`` with the array bound by a lambda, so it is computed once and not again for each item."""
+    return F.get(F.transform(F.array(items), make), 0)
+
+
 def ngrams(words: Column, n: int) -> Column:
-    last = F.size(words) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    def grams(w: Column) -> Column:
+        last = F.size(w) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, grams)
 
 
 def sentences(c: Column, least: int = 1, most: int | None = 256) -> Column:
@@ -31,8 +39,11 @@ def sentences(c: Column, least: int = 1, most: int | None = 256) -> Column:
 
 def windows(items: Column, size: int, stride: int) -> Column:
     """Sliding windows over an array; a trailing partial window is kept."""
-    n = F.size(items)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(stride)), lambda i: F.slice(items, i + 1, size))).otherwise(F.array())
+    def slide(x: Column) -> Column:
+        n = F.size(x)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(stride)), lambda i: F.slice(x, i + 1, size))).otherwise(F.array())
+
+    return bound(items, slide)
 
 
 def locate_quote(text: Column, quote: Column) -> Column:
