@@ -3,6 +3,7 @@
 import json
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,3 +318,24 @@ def test_snap_ties_go_to_the_nearer_then_the_smaller_edge(spark):
     e = spark.createDataFrame([(1, 0.1, 1.0, 30.1, 1.0), (2, -3.3, 1.0, 26.7, 1.0), (3, 0.3, 1.0, 30.3, 1.0)], "edge int, ax double, ay double, bx double, by double")
     got = graph.snap_to_edges(p, e, "k", "h", "edge", 50.0, 25.0, 0.1).collect()
     assert len(got) == 40 and {(r.edge, r.dist) for r in got} == {(1, 0.0)}
+
+
+def test_batch_map_sends_small_chunks_together(spark):
+    """Chunks of one row do not each become a frame; large integers beside failed rows stay exact."""
+    big = (1 << 60) + 1
+
+    def run(batch):
+        if batch[0]["id"] % 3 == 0:
+            raise RuntimeError("boom")
+        return [{"y": big + r["id"]} for r in batch]
+
+    df = batch_map.batch_map(spark.range(0, 3000, 1, 1), run, "y long", ["id"], ["id"], chunk=1)
+    assert {r.id: r.y for r in df.collect()} == {i: None if i % 3 == 0 else big + i for i in range(3000)}
+
+    class Held:
+        """Gives the function that would run in the tasks."""
+
+        schema, select, mapInPandas = spark.range(1).schema, lambda self, *a: self, lambda self, f, s: f
+
+    frames = list(batch_map.batch_map(Held(), run, "y long", ["id"], ["id"], chunk=1)(iter([pd.DataFrame({"id": range(3000)})])))
+    assert len(frames) <= 3 and sum(map(len, frames)) == 3000
