@@ -389,3 +389,30 @@ def test_graph_search_finds_nearest_centroids():
     d, near = index.search(q)
     true = ((q[:, None] - c[None]) ** 2).sum(2).argmin(1)
     assert (near[:, 0] == true).mean() > 0.97 and np.all(np.diff(d, axis=1)[np.isfinite(d[:, 1:])] >= 0)
+
+
+def test_many_lists_are_searched_without_tables_of_pairs():
+    """Nothing in the index grows with the square of the lists; the nearest centroids are exact, also far from the origin."""
+    rng = np.random.default_rng(4)
+    c = rng.normal(0, 1, (3000, 17)) + 1000.0
+    index = vectors.Index(c, 20.0)
+    assert sum(v.nbytes for v in vars(index).values() if isinstance(v, np.ndarray)) < 4 * c.nbytes
+    q = rng.normal(0, 1, (64, 17)) + 1000.0
+    d, near = index.search(q, 16)
+    true = np.sqrt(((q[:, None] - c[None]) ** 2).sum(2))
+    assert np.array_equal(near, np.argsort(true, axis=1)[:, :16]) and np.array_equal(d, np.sort(true, axis=1)[:, :16])
+
+
+def test_best_of_a_block_is_exact_where_single_precision_is_not():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(0, 1, (40, 8)), 25, axis=0) * (1 + rng.integers(-4, 5, (1000, 1)) * 1e-12) * 1e60
+    x = rng.normal(0, 1, (30, 8)) * 1e-60
+    t = pa.table({"key": np.arange(1000), "v": pa.array(list(v)), "list": pa.array(np.arange(1000, dtype=np.int32) % 7), "ids": pa.array([[i] for i in range(1000)])})
+    q = pa.table({"qkey": np.arange(30), "q": pa.array(list(x)), "lists": pa.array([np.array([0, 2, 5], np.int32).tobytes()] * 30, pa.binary())})
+    got = pa.concat_tables(vectors.best_of(q, t, 20)).to_pydict()
+    read = np.flatnonzero(np.isin(np.arange(1000) % 7, [0, 2, 5]))
+    for i in range(30):
+        s = vectors.dots(np.repeat(x[i : i + 1], len(read), axis=0), v[read])
+        assert {(k, z) for p, k, z in zip(got["qkey"], got["key"], got["score"]) if p == i} == {(k, z) for k, z in zip(read, s) if z >= np.sort(s)[-21]}
