@@ -2,7 +2,7 @@
 
 Shards: documents are dealt by a hash of doc_id and text into shards of about ``SHARD_BYTES`` of text, and
 sorted in them by another, so what a shard holds does not depend on how the table is partitioned. Each shard is split into
-words once and kept as places in its own table of distinct words, with their counts.
+words once, all of its texts together, and kept as places in its own table of distinct words, with their counts.
 
 Counting: the shards' counts over all training documents are summed by a shuffle. A shard is sent back the
 totals that differ from its own, but for the commonest words, ``BROADCAST`` at most, which go to every task.
@@ -28,12 +28,11 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +48,8 @@ LEAST_STEPS = 256
 #: Bytes of text in a shard, as dealt, and at which a shard goes on in another part; most shards a partition is made for.
 SHARD_BYTES, PART_BYTES, MOST_PARTITIONS = 1 << 24, 1 << 26, 100_000
 BROADCAST = 1 << 18
+#: Steps whose scores are computed at a time.
+BLOCK = 1024
 REAL = np.float32
 PART = 1000
 SHAPES = {"G": (INPUTS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "Wc": (HIDDEN, END_CLASS + 1), "bc": (END_CLASS + 1,), "Ww": (CLASSES, HIDDEN, CLASS_WORDS), "bw": (CLASSES, CLASS_WORDS)}
@@ -59,6 +60,24 @@ def tokens(text: str | bytes | None) -> list[bytes]:
     return plain.translate(LOWER).split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as ``tokens`` gives them, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    # white space at either end of a text leaves an empty word
+    full = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full), np.diff(before[offsets])
+
+
+def as_bytes(words: pa.Array) -> list[bytes]:
+    """The words as bytes, valid UTF-8 or not."""
+    data, wide = words.buffers()[2], pa.types.is_large_string(words.type)
+    ends = np.frombuffer(words.buffers()[1], np.int64 if wide else np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def word_keys(words: list[bytes]) -> np.ndarray:
     """Of each word 59 hash bits and, in the low five, the rare class (by the word's last two bytes), as signed longs."""
     import xxhash
@@ -86,33 +105,38 @@ def shards(docs: DataFrame, n: int) -> DataFrame:
     names = ["unit", "doc_ids", "held", "sizes", "places", "keys", "counts"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, parts, table, size, now = [], [], [], defaultdict(count().__next__), 0, (-1, 0)
+        rows, size, now = [], 0, (-1, 0)
 
         def out() -> pa.RecordBatch:
-            sizes = np.array([len(x) for x in parts], np.int32)
-            places = np.concatenate(parts)
-            seen = np.bincount(places[~np.repeat(np.array(held), sizes)], minlength=len(table))
+            ids, held, sizes, words = zip(*rows)
+            rows.clear()
+            ids, held, sizes = pa.concat_arrays(ids), pa.concat_arrays(held), np.concatenate(sizes)
+            coded = pa.chunked_array(words).dictionary_encode()
+            places = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+            table = as_bytes(coded.chunk(0).dictionary)
+            seen = np.bincount(places[~np.repeat(held.to_numpy(zero_copy_only=False), sizes)], minlength=len(table))
             pack = lambda x, t: pa.array([x.astype(t).tobytes()], pa.binary())
-            cols = [pa.array([now[0] << 20 | now[1]], pa.int64()), pa.array([ids], pa.list_(batch.column(0).type)), pa.array([held], pa.list_(pa.bool_())), pack(sizes, np.int32), pack(places, np.int32), pack(word_keys(list(table)), np.int64), pack(seen, np.int64)]
-            ids.clear(), held.clear(), parts.clear(), table.clear()
-            table.default_factory = count().__next__
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            cols = [pa.array([now[0] << 20 | now[1]], pa.int64()), one(ids), one(held), pack(sizes, np.int32), pack(places, np.int32), pack(word_keys(table), np.int64), pack(seen, np.int64)]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for i in range(batch.num_rows):
-                shard = batch.column(3)[i].as_py()
-                if ids and (shard != now[0] or size > PART_BYTES):
+            words, sizes = split(batch.column(1))
+            ends, begin = np.concatenate([[0], np.cumsum(sizes)]), 0
+
+            def cut(i: int, j: int) -> None:
+                if i < j:
+                    rows.append((batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), sizes[i:j], words.slice(ends[i], ends[j] - ends[i])))  # noqa: B023
+
+            for i, (shard, n) in enumerate(zip(batch.column(3).to_pylist(), pc.binary_length(batch.column(1)).to_pylist())):
+                if now[0] >= 0 and (shard != now[0] or size > PART_BYTES):
+                    cut(begin, i)
                     yield out()
-                    size, now = 0, (shard, now[1] + 1 if shard == now[0] else 0)
+                    begin, size, now = i, 0, (shard, now[1] + 1 if shard == now[0] else 0)
                 now = (shard, now[1] if shard == now[0] else 0)
-                text = texts[i].as_py()
-                words = tokens(text)
-                size += len(text or b"")
-                ids.append(batch.column(0)[i].as_py())
-                held.append(batch.column(2)[i].as_py())
-                parts.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
-        if ids:
+                size += n or 0
+            cut(begin, batch.num_rows)
+        if rows:
             yield out()
 
     return dealt.select("doc_id", "text", "held", "shard").mapInArrow(work, f"unit long, doc_ids array<{kind}>, held array<boolean>, sizes binary, places binary, keys binary, counts binary")
@@ -210,139 +234,155 @@ def pack(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return owner, place, first
 
 
+def by_gate(x: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Columns of the gates z, r and the candidate c as (c, z, r; row, hidden): what a step computes lies together for each."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2)[[2, 0, 1]], kind)
+
+
 def forward(p: dict, rows: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
     """States (step, lane, hidden) of one window; rows (of G) and first are (step, lane). Gates take half of their argument's scale.
 
-    With ``keep``, also the gates z and r, the candidate, its recurrent part and the state before each step.
+    With ``keep``, also the state before each step, and (step, 5, lane, hidden): (1 - c^2) (1 - z), the gates z and r,
+    r (1 - r) times the candidate's recurrent part, and z (1 - z) (h - c).
     """
     steps, n = rows.shape
-    gx, hs = p["G"][rows], np.empty((steps, n, HIDDEN), h.dtype)
-    us, befores = (np.empty((steps, n, HIDDEN), h.dtype) for _ in range(2)) if keep else (None, None)
-    fresh, two = first.any(1), 2 * HIDDEN
+    G, U = by_gate(p["G"], h.dtype), by_gate(p["U"], h.dtype)
+    hs, u, fresh = np.empty((steps, n, HIDDEN), h.dtype), np.empty((3, n, HIDDEN), h.dtype), first.any(1)
+    kept, befores = np.empty((steps if keep else 1, 5, n, HIDDEN), h.dtype), np.empty((steps if keep else 1, n, HIDDEN), h.dtype)
     for t in range(steps):
+        now, before = kept[t if keep else 0], befores[t if keep else 0]
+        before[...] = h
         if fresh[t]:
-            h = np.where(first[t][:, None], h.dtype.type(0), h)
-        a, u = gx[t], h @ p["U"]
-        zr, c = a[:, :two], a[:, two:]
-        zr += u[:, :two]
+            before[first[t]] = 0
+        np.take(G, rows[t], axis=1, out=now[:3], mode="clip")
+        np.matmul(before, U, out=u)
+        (c, z, r, to_r, to_z), zr, h = now, now[1:3], hs[t]
+        zr += u[1:]
         np.tanh(zr, out=zr)
         zr += 1
         zr *= 0.5
-        if keep:
-            us[t], befores[t] = u[:, two:], h
-        c += zr[:, HIDDEN:] * u[:, two:]
+        np.multiply(r, u[0], out=to_r)
+        c += to_r
         np.tanh(c, out=c)
-        h = h - c
-        h *= zr[:, :HIDDEN]
+        np.subtract(before, c, out=h)
+        h *= z
+        if keep:
+            np.subtract(1, now[1:3], out=u[1:])
+            np.multiply(h, u[1], out=to_z)
+            to_r *= u[2]
         h += c
-        hs[t] = h
-    return hs, h, (gx, us, befores)
-
-
-def softmax_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """exp(x), its sums, and x, by rows, x shifted by its maximum where that is needed to keep the sums finite."""
-    with np.errstate(over="ignore"):
-        e = np.exp(x)
-    total = e.sum(1)
-    if not (np.isfinite(total) & (total > 1e-30)).all():
-        x = x - x.max(1, keepdims=True)
-        e = np.exp(x)
-        total = e.sum(1)
-    return e, total, x
-
-
-class Frequent:
-    """Steps whose target is a frequent word, sorted by class: their scores inside the classes, in one block."""
-
-    def __init__(self, p: dict, h: np.ndarray, out_class: np.ndarray):
-        at = np.flatnonzero(out_class < CLASSES)
-        self.at = at[np.argsort(out_class[at].astype(np.uint8), kind="stable")]
-        cut = np.searchsorted(out_class[self.at], np.arange(CLASSES + 1))
-        self.parts = [(k, slice(cut[k], cut[k + 1])) for k in range(CLASSES) if cut[k] < cut[k + 1]]
-        self.h = h[self.at]
-        x = np.empty((len(self.at), CLASS_WORDS), self.h.dtype)
-        for k, part in self.parts:
-            np.matmul(self.h[part], p["Ww"][k], out=x[part], casting="same_kind")
-            x[part] += p["bw"][k]
-        self.x = x
+        if keep:
+            c *= c
+            np.subtract(1, c, out=c)
+            c *= u[1]
+    return hs, h, (befores, kept)
+
+
+def softmax(w: np.ndarray, b: np.ndarray, h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the scores (output, step) of states h, shifted by their maximum where that is needed to keep the sums finite; the sums; flat places of outputs k; their ln P."""
+    at = k.astype(np.intp)
+    at *= len(k)
+    at += np.arange(len(k))
+    for shift in (False, True):
+        x = w.T @ h.T
+        x += b[:, None]
+        if shift:
+            x -= x.max(0)
+        own = x.ravel()[at]
+        with np.errstate(over="ignore"):
+            np.exp(x, out=x)
+        total = x.sum(0)
+        if total.min() > 1e-30 and total.max() < np.inf:
+            break
+    return x, total, at, own - np.log(total)
 
 
-def word_log_probability(p: dict, h: np.ndarray, out_class: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """ln P of class and, for frequent words, of the word in its class."""
+def blocks(n: int) -> list[slice]:
+    """BLOCK steps at a time, so that their scores stay in a core's cache."""
+    return [slice(at, min(at + BLOCK, n)) for at in range(0, n, BLOCK)]
 
-    def chosen(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-        _, total, x = softmax_parts(x)
-        return x[np.arange(len(k)), k] - np.log(total)
 
-    x = h @ p["Wc"]
-    x += p["bc"]
-    lp = chosen(x, out_class)
-    f = Frequent(p, h, out_class)
-    lp[f.at] += chosen(f.x, slot[f.at])
-    return lp
+def by_class(out_class: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Steps in the order of their targets' classes; where those of each class of frequent words stand there."""
+    order = np.argsort(out_class.astype(np.uint8), kind="stable")
+    cut = np.searchsorted(out_class[order], np.arange(CLASSES + 1))
+    return order, [(k, slice(cut[k], cut[k + 1])) for k in range(CLASSES) if cut[k] < cut[k + 1]]
+
+
+def word_log_probability(p: dict, h: np.ndarray, out_class: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """ln P of class and, for frequent words, of the word in its class."""
+    order, parts = by_class(out_class)
+    h, oc, sl = h.take(order, axis=0), out_class[order], slot[order]
+    lp = np.empty(len(h), np.result_type(h, p["Wc"]))
+    for s in blocks(len(h)):
+        lp[s] = softmax(p["Wc"], p["bc"], h[s], oc[s])[3]
+    for k, s in parts:
+        lp[s] += softmax(p["Ww"][k], p["bw"][k], h[s], sl[s])[3]
+    out = np.empty_like(lp)
+    out[order] = lp
+    return out
 
 
 def gradients(p: dict, rows, first, out_class, slot, live, h0):
     """Mean loss, gradients and last state of one window (arrays are (step, lane)), by backpropagation inside it."""
     steps, n = rows.shape
-    hs, last, cache = forward(p, rows, first, h0, keep=True)
-    flat = hs.reshape(-1, HIDDEN)
-    oc, sl, w = out_class.ravel(), slot.ravel(), live.ravel().astype(REAL)
+    hs, last, (befores, kept) = forward(p, rows, first, h0, keep=True)
+    w = live.ravel().astype(REAL)
     total = max(1.0, w.sum())
+    order, parts = by_class(out_class.ravel())
+    h, oc, sl, share = hs.reshape(-1, HIDDEN).take(order, axis=0), out_class.ravel()[order], slot.ravel()[order], w[order] / REAL(total)
     g = {k: np.zeros(s, REAL) for k, s in SHAPES.items()}
-    x = flat @ p["Wc"]
-    x += p["bc"]
-    d, sums, x = softmax_parts(x)
-    at = np.arange(len(flat))
-    loss = -((x[at, oc] - np.log(sums)) * w).sum()
-    d *= (w / sums / total)[:, None]
-    d[at, oc] -= w / total
-    g["Wc"], g["bc"] = flat.T @ d, d.sum(0)
-    dh_out = d @ p["Wc"].T
-    f = Frequent(p, flat, np.where(w > 0, oc, END_CLASS))
-    e, sums, x = softmax_parts(f.x)
-    m, wk, sk = np.arange(len(f.at)), w[f.at], sl[f.at]
-    loss -= ((x[m, sk] - np.log(sums)) * wk).sum()
-    e *= (wk / sums / total)[:, None]
-    e[m, sk] -= wk / total
-    back = np.empty_like(f.h)
-    for k, part in f.parts:
-        g["Ww"][k], g["bw"][k] = f.h[part].T @ e[part], e[part].sum(0)
-        np.matmul(e[part], p["Ww"][k].T, out=back[part])
-    dh_out[f.at] += back
-    dh_out = dh_out.reshape(steps, n, HIDDEN)
-    gx, us, befores = cache
-    z, r, c = gx[..., :HIDDEN], gx[..., HIDDEN : 2 * HIDDEN], gx[..., 2 * HIDDEN :]
-    # what does not depend on later steps, for all steps at once; the gates' argument is halved, so their slope is twice s (1 - s)
-    to_z = befores - c
-    to_z *= 2 * z * (1 - z)
-    to_c = 1 - c * c
-    to_c *= 1 - z
-    to_r = 2 * r * (1 - r)
-    to_r *= us
-    das, dus = np.empty((steps, n, 3 * HIDDEN), REAL), np.empty((steps, n, HIDDEN), REAL)
+    loss, dh = 0.0, np.empty_like(h)
+
+    def back(weights: np.ndarray, bias: np.ndarray, s: slice, k: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of steps s, summed -ln P of outputs k, and the gradients of weights, bias and states."""
+        d, sums, at, lp = softmax(weights, bias, h[s], k[s])
+        d *= share[s] / sums
+        d.ravel()[at] -= share[s]
+        return -(lp * share[s]).sum(), h[s].T @ d.T, d.sum(1), d.T @ weights.T
+
+    for s in blocks(len(h)):
+        x, to_w, to_b, dh[s] = back(p["Wc"], p["bc"], s, oc)
+        g["Wc"] += to_w
+        g["bc"] += to_b
+        loss += x
+    for k, s in parts:
+        x, g["Ww"][k], g["bw"][k], more = back(p["Ww"][k], p["bw"][k], s, sl)
+        dh[s] += more
+        loss += x
+    spot = np.empty(len(order), np.intp)
+    spot[order] = np.arange(len(order))
+    dh_out = dh.take(spot, axis=0).reshape(steps, n, HIDDEN)
+    # the gates' argument is halved, so their slope is twice s (1 - s)
+    twice = np.array([1, 2, 2], REAL)[:, None, None]
     dh, fresh = np.zeros((n, HIDDEN), REAL), first.any(1)
-    back, back_c = np.ascontiguousarray(p["U"][:, : 2 * HIDDEN].T), np.ascontiguousarray(p["U"][:, 2 * HIDDEN :].T)
+    ups, turn = np.empty((3, n, HIDDEN), REAL), np.ascontiguousarray((by_gate(p["U"], REAL) * twice)[[0, 2, 1]].transpose(0, 2, 1))
     for t in range(steps - 1, -1, -1):
         dh += dh_out[t]
-        da, dc = das[t], das[t, :, 2 * HIDDEN :]
-        np.multiply(dh, to_z[t], out=da[:, :HIDDEN])
-        np.multiply(dh, to_c[t], out=dc)
-        np.multiply(dc, to_r[t], out=da[:, HIDDEN : 2 * HIDDEN])
-        np.multiply(dc, r[t], out=dus[t])
-        dh *= z[t]
-        dh += da[:, : 2 * HIDDEN] @ back
-        dh += dus[t] @ back_c
+        # in place: what was kept turns into the gradients of c, of its recurrent part, of r and of z
+        c, z, r, to_r, to_z = kept[t]
+        c *= dh
+        to_z *= dh
+        to_r *= c
+        r *= c
+        dh *= z
+        for up in np.matmul(kept[t, 2:], turn, out=ups):
+            dh += up
         if fresh[t]:
             dh[first[t]] = 0
-    before, flat_da = befores.reshape(-1, HIDDEN).T, das.reshape(-1, 3 * HIDDEN)
-    g["U"] = np.concatenate([before @ flat_da[:, : 2 * HIDDEN], before @ dus.reshape(-1, HIDDEN)], axis=1)
+    u = np.matmul(befores.transpose(0, 2, 1)[:, None], kept[:, 2:]).sum(0)
+    g["U"] = np.concatenate([2 * u[2], 2 * u[1], u[0]], axis=1)
     flat_rows = rows.ravel()
     order = np.argsort(flat_rows.astype(np.uint16), kind="stable")
     ranked = flat_rows[order]
     starts = np.concatenate([[0], np.flatnonzero(np.diff(ranked)) + 1])
-    g["G"][ranked[starts]] = np.add.reduceat(flat_da[order], starts, axis=0)
-    return loss / total, g, last
+    place = order + order // n * (4 * n)
+    for k, (gate, scale) in enumerate(((4, 2), (3, 2), (0, 1))):
+        some = kept.reshape(-1, HIDDEN).take(place + gate * n, axis=0)
+        # sums two numbers at a time, as complex ones
+        sums = np.add.reduceat(some.view(np.result_type(REAL, np.complex64)), starts, axis=0).view(REAL)
+        g["G"][ranked[starts], k * HIDDEN : (k + 1) * HIDDEN] = sums * REAL(scale)
+    return loss, g, last
 
 
 def train(p: dict, rows: np.ndarray, first: np.ndarray, out_class: np.ndarray, slot: np.ndarray) -> dict:

@@ -434,6 +434,61 @@ def test_scores(spark, corpus):
     assert recurrent.score(docs.limit(0)).count() == 0
 
 
+def test_words_of_many_texts_at_once_equal_those_of_each():
+    import time
+
+    import pyarrow as pa
+
+    texts = ["  a  B\n", None, "", "\x0b\x0c", " \x1c \x85\u00a0 x", "Ünï ÇØdé İ\r\n", "a\x00b \x00", "x" * 1000, "last\t"]
+    raw = pa.array([*[t and t.encode() for t in texts], b"\xff\xfe A \xc3", b" \xed\xa0\x80 Q "], pa.binary())
+    column = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())
+    for some in (column, column[3:], column[1:4], column[:0]):
+        words, sizes = recurrent.split(some)
+        want = [recurrent.tokens(t) for t in some.cast(pa.binary()).to_pylist()]
+        assert recurrent.as_bytes(words) == [w for x in want for w in x] and sizes.tolist() == [len(x) for x in want]
+    r, spoken = random.Random(3), vocabulary(7, 3000)
+    texts = [prose(r, spoken, 500) for _ in range(200)]
+
+    def seconds(f):
+        out = []
+        for _ in range(5):
+            t = time.thread_time()
+            f()
+            out.append(time.thread_time() - t)
+        return min(out)
+
+    def one_by_one():
+        place = {}
+        return [[place.setdefault(w, len(place)) for w in recurrent.tokens(t)] for t in texts]
+
+    column = pa.array(texts)
+    assert seconds(lambda: recurrent.split(column)[0].dictionary_encode()) < seconds(one_by_one)
+
+
+def test_large_shards_are_written_in_parts(spark):
+    import numpy as np
+
+    n = recurrent.PART_BYTES * 4 // 10
+    docs = spark.range(5).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("A b "), F.repeat(F.lit("x"), n)).alias("text"))
+    rows = recurrent.shards(docs, 1).orderBy("unit").collect()
+    assert [len(x.doc_ids) for x in rows] == [3, 2] and [x.unit for x in rows] == [0, 1]
+    assert all(np.frombuffer(x.sizes, np.int32).tolist() == [3] * len(x.doc_ids) and len(x.keys) == 3 * 8 for x in rows)
+    assert [np.frombuffer(x.places, np.int32).tolist() for x in rows] == [[0, 1, 2] * 3, [0, 1, 2] * 2]
+
+
+def test_scores_far_apart_are_shifted():
+    import numpy as np
+
+    h, k = np.eye(2, dtype=np.float32), np.array([0, 1], np.uint8)
+    for scale in (1, 200, -200):
+        w = np.array([[1, 2, 3], [4, 5, 7]], np.float32) * scale
+        b = np.zeros(3, np.float32)
+        x = w.astype(float)
+        want = x[[0, 1], k] - x.max(1) - np.log(np.exp(x - x.max(1, keepdims=True)).sum(1))
+        e, total, at, lp = recurrent.softmax(w, b, h, k)
+        assert np.allclose(lp, want, rtol=1e-5) and np.allclose((e / total).sum(0), 1) and at.tolist() == [0, 3]
+
+
 def test_model_learns_what_the_base_cannot(spark):
     """Two languages in one corpus: the state tells them apart."""
     r = random.Random(1)
