@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quadrat.functions.columns import hash_unit
+from quadrat.sources.storage import ensure_checkpoint_dir
 
 
 def hash_order(seed: object, *keys: str) -> list[Column]:
@@ -106,12 +107,17 @@ def dense_number(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 
 
 def sums_before(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows before each in a total order: sums inside range partitions and one offset a partition."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """Adds the sum of ``value`` over all rows before each in a total order: sums inside range partitions and one offset a partition.
+
+    The partitions are checkpointed: their bounds are drawn from a sample and neighbours merged by size, so that rows
+    dealt anew for the offsets would lie in others than those of the sums.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
     w = W.partitionBy("_p").orderBy(*order)
     inside = ranged.withColumn("_k", F.sum(value).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     # one row a partition
-    sizes = inside.groupBy("_p").agg(F.max("_k").alias("_n"))
+    sizes = ranged.groupBy("_p").agg(F.sum(value).alias("_n"))
     before = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_offset")
     return inside.join(F.broadcast(before), "_p").withColumn(out, F.col("_offset") + F.col("_k") - F.col(value)).drop("_p", "_k", "_offset")
 

@@ -370,3 +370,22 @@ def test_nearest_ring_is_exact_and_measures_few_pairs(spark):
     assert {r.k: (r.matched_bin, round(r.match_dist, 9)) for r in got.where("geom_source = 'nearest'").collect()} == want and len(want) > 200
     # the grouping of equal rings stands below the join with cells
     assert "Aggregate [ring" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_over_many_partitions(spark):
+    """Ranks of many distinct values in range partitions that are not merged into one."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        df = spark.range(40000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), (F.col("id") * 7919 % 32003).cast("double").alias("v"))
+        got = judgments.rating_level(df, "g", "v", "a", "b").first()
+    finally:
+        spark.conf.unset(name)
+    at, ranks, below = {}, 0.0, 0
+    for i in range(40000):
+        n = at.setdefault(i * 7919 % 32003, [0, 0])
+        n[0] += 1
+        n[1] += i % 3 == 0
+    for _, (n, a) in sorted(at.items()):
+        ranks, below = ranks + a * (below + (n + 1) / 2), below + n
+    assert got.mann_whitney_u == ranks - got.n_a * (got.n_a + 1) / 2
